@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "timestamp": T.TimestampType(),
+    "string": T.StringType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "long": T.LongType(),
+    "int": T.IntegerType(),
+}
+
+
 def _table(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Columns from ``name type`` pairs, without needing a session as DDL parsing would."""
+    pairs = [part.split() for part in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 DEMAND = _table("period_utc timestamp, ba_code string, value_mwh double, series string, source string")
@@ -65,24 +77,52 @@ TABLE_KEYS = {
 }
 
 # Landed payload documents, one per line.
-REGION_PAGE = _table(
-    "response struct<data: array<struct<period: string, respondent: string, type: string, value: string>>>"
-)
-FUEL_PAGE = _table(
-    "response struct<data: array<struct<period: string, respondent: string, fueltype: string, value: string>>>"
-)
-INTERCHANGE_PAGE = _table(
-    "response struct<data: array<struct<period: string, fromba: string, toba: string, value: string>>>"
-)
-NOAA_HOURLY = _table(
-    "properties struct<periods: array<struct<startTime: string, temperature: double, windSpeed: string, "
-    "relativeHumidity: struct<value: double>, shortForecast: string>>>"
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+def _page(record: str) -> T.StructType:
+    return _struct(response=_struct(data=T.ArrayType(_table(record))))
+
+
+_DOUBLES = T.ArrayType(T.DoubleType())
+
+REGION_PAGE = _page("period string, respondent string, type string, value string")
+FUEL_PAGE = _page("period string, respondent string, fueltype string, value string")
+INTERCHANGE_PAGE = _page("period string, fromba string, toba string, value string")
+NOAA_HOURLY = _struct(
+    properties=_struct(
+        periods=T.ArrayType(
+            _struct(
+                startTime=T.StringType(),
+                temperature=T.DoubleType(),
+                windSpeed=T.StringType(),
+                relativeHumidity=_table("value double"),
+                shortForecast=T.StringType(),
+            )
+        )
+    )
 )
-OPENMETEO_HOURLY = _table(
-    "latitude double, longitude double, hourly struct<time: array<string>, temperature_2m: array<double>, "
-    "windspeed_10m: array<double>, cloudcover: array<double>, weathercode: array<double>>"
+OPENMETEO_HOURLY = _struct(
+    latitude=T.DoubleType(),
+    longitude=T.DoubleType(),
+    hourly=_struct(
+        time=T.ArrayType(T.StringType()),
+        temperature_2m=_DOUBLES,
+        windspeed_10m=_DOUBLES,
+        cloudcover=_DOUBLES,
+        weathercode=_DOUBLES,
+    ),
 )
-LOAD_SERIES = _table(
-    "MktPSRType struct<psrType: string>, Period array<struct<timeInterval: struct<start: string, end: string>, "
-    "resolution: string, Point: array<struct<position: int, quantity: double>>>>"
+LOAD_SERIES = _struct(
+    MktPSRType=_table("psrType string"),
+    Period=T.ArrayType(
+        _struct(
+            timeInterval=_table("start string, end string"),
+            resolution=T.StringType(),
+            Point=T.ArrayType(_table("position int, quantity double")),
+        )
+    ),
 )
