@@ -39,6 +39,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _folder(spark, path)
+    return fs.getFileStatus(p).isDirectory()
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     fs, p = _folder(spark, path)
     fs.delete(p, True)
