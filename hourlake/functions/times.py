@@ -66,6 +66,7 @@ def parse_period(c: str | Column) -> Column:
 def parse_utc(c: str | Column) -> Column:
     """ISO timestamp text; a trailing zone or offset is honoured, text without one is UTC."""
     text = F.regexp_replace(F.trim(col(c)), "^(\\d{4}-\\d{2}-\\d{2}) ", "$1T")
+    text = F.regexp_replace(text, "T(\\d{2}:\\d{2})(?=$|[zZ+-])", "T$1:00")
     has_zone = text.rlike("([zZ]|[+-]\\d{2}:?\\d{2})$")
     return F.try_to_timestamp(F.when(has_zone, text).otherwise(F.concat(text, F.lit("Z"))))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hourlake.functions.labels import severity
 from hourlake.functions.numbers import pct
-from hourlake.functions.times import anchor, interval_hours
+from hourlake.functions.times import anchor, interval_hours, seconds_between, time_literal
 from hourlake.operators.filters import only_key, trailing
 from hourlake.operators.joins import forecast_timeline, pair_actuals
 from hourlake.operators.rollups import score_sets
@@ -311,11 +311,13 @@ def forecast_facts(demand: DataFrame, vintages: DataFrame, as_of=None, actual_ho
     left = actual.groupBy("ba_code").agg(
         F.max("period_utc").alias("last_actual_utc"), F.max_by("value_mwh", "period_utc").alias("last_actual_mwh")
     )
+    epoch = time_literal("1970-01-01 00:00:00", vintages.schema["period_utc"].dataType)
+    earliest = seconds_between("period_utc", epoch)  # of equal peaks the first one counts
     right = latest.groupBy("ba_code").agg(
         F.min("period_utc").alias("first_forecast_utc"),
         F.min_by("yhat_mwh", "period_utc").alias("first_yhat_mwh"),
         F.max("yhat_mwh").alias("peak_yhat_mwh"),
-        F.max_by("period_utc", "yhat_mwh").alias("peak_utc"),
+        F.max_by("period_utc", F.struct("yhat_mwh", earliest)).alias("peak_utc"),
         F.count(F.lit(1)).alias("horizon_hours"),
     )
     return left.join(right, "ba_code", "full_outer").withColumn("horizon_hours", F.coalesce("horizon_hours", F.lit(0)))

@@ -60,8 +60,10 @@ def stored_dates(spark: SparkSession, path: str, date_col: str = DATE_COL) -> li
 # --- plain writes -----------------------------------------------------------------------------
 
 
-def with_date(df: DataFrame, time_col: str = "period_utc", date_col: str = DATE_COL) -> DataFrame:
-    return df.withColumn(date_col, F.to_date(time_col))
+def with_date(df: DataFrame, time_col: str = "period_utc", date_col: str = DATE_COL, grain: str = "day") -> DataFrame:
+    """The partition column: the row's day, or the first day of its month for sparse tables, whose
+    daily files would be tiny."""
+    return df.withColumn(date_col, F.to_date(time_col) if grain == "day" else F.trunc(time_col, grain))
 
 
 def _write(df: DataFrame, path: str, mode: str, date_col: str | None, sort_by: list[str] | None = None) -> None:
@@ -76,10 +78,12 @@ def _write(df: DataFrame, path: str, mode: str, date_col: str | None, sort_by: l
         df.hint("rebalance").write.mode(mode).parquet(path)
 
 
-def append_rows(df: DataFrame, path: str, time_col: str | None = "period_utc", date_col: str = DATE_COL) -> int:
+def append_rows(
+    df: DataFrame, path: str, time_col: str | None = "period_utc", date_col: str = DATE_COL, grain: str = "day"
+) -> int:
     """Append without looking at what is there. The rows are counted while they are written."""
     seen = Observation()
-    dated = with_date(df, time_col, date_col) if time_col else df
+    dated = with_date(df, time_col, date_col, grain) if time_col else df
     counted = dated.observe(seen, F.count(F.lit(1)).alias("n"))
     _write(counted, path, "append", date_col if time_col else None)
     return int(seen.get["n"])
@@ -125,6 +129,7 @@ def upsert(
     order_col: str | None = None,
     update_cols: list[str] | None = None,
     date_col: str = DATE_COL,
+    grain: str = "day",
 ) -> int:
     """Insert rows, or update them where their key is stored already. Returns the rows attempted.
 
@@ -137,7 +142,7 @@ def upsert(
     counted = batch.observe(attempted, F.count(F.lit(1)).alias("n"))
     rows = latest_per(counted, keys, order_col) if order_col else counted.dropDuplicates(keys)
     if time_col:
-        rows = with_date(rows, time_col, date_col)
+        rows = with_date(rows, time_col, date_col, grain)
     staged_batch = shared_dir(spark, "batch")
     _write(rows, staged_batch, "overwrite", date_col if time_col else None)
     n = int(attempted.get["n"])
@@ -169,14 +174,16 @@ def _swap_in(content: DataFrame, path: str, date_col: str | None, sort_by: list[
     remove_folder(spark, staged)
 
 
-def refresh_mart(source: DataFrame, path: str, keys: list[str], late_hours: int = LATE_HOURS, time_col: str = "period_utc") -> int:
+def refresh_mart(
+    source: DataFrame, path: str, keys: list[str], late_hours: int = LATE_HOURS, time_col: str = "period_utc", grain: str = "day"
+) -> int:
     """Incremental mart: reload what is younger than the stored maximum less ``late_hours`` and
     upsert it; everything on the first run. Stored keys that vanished upstream stay."""
     spark = source.sparkSession
     if exists(spark, path):
         newest = latest_period(spark.read.parquet(path), time_col)
         source = source.where(F.col(time_col) > newest - interval_hours(late_hours))
-    return upsert(source, path, keys, time_col)
+    return upsert(source, path, keys, time_col, grain=grain)
 
 
 # --- removal ----------------------------------------------------------------------------------

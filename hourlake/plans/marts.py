@@ -42,7 +42,7 @@ FACT_KEYS = {
 }
 
 
-def build_marts(raw: RawTables, out: str, as_of=None, recent_hours: int = 72) -> None:
+def build_marts(raw: RawTables, out: str, as_of=None, recent_hours: int = 72, grain: str = "day") -> None:
     """Refresh the facts incrementally, then rebuild the aggregates and the dimension from them.
 
     Each fact is written once; the aggregates read the stored facts with a date bound.
@@ -54,7 +54,7 @@ def build_marts(raw: RawTables, out: str, as_of=None, recent_hours: int = 72) ->
         "fct_interchange_hourly": fct_interchange(raw.interchange),
     }
     for name, df in facts.items():
-        upkeep.refresh_mart(df, f"{out}/{name}", FACT_KEYS[name])
+        upkeep.refresh_mart(df, f"{out}/{name}", FACT_KEYS[name], grain=grain)
     demand = spark.read.parquet(f"{out}/fct_demand_hourly")
     generation = spark.read.parquet(f"{out}/fct_generation_hourly")
     tables = {

@@ -161,10 +161,10 @@ FLOWS = """SELECT from_ba, to_ba, sum(value_mwh) AS net_mwh, count(*) AS n_obs F
 @query(
     "interchange_flows",
     "AGG11 TOP1",
-    ctes("interchange snow", "SELECT from_ba, to_ba, round(net_mwh, 2) AS net_mwh, n_obs FROM flows", flows=FLOWS),
+    ctes("interchange snow", "SELECT from_ba, to_ba, round(net_mwh, 4) AS net_mwh, n_obs FROM flows", flows=FLOWS),
 )
 def _(b):
-    return rounded(rollups.interchange_flows(b.interchange, 168, b.shipped_now), 2)
+    return rounded(rollups.interchange_flows(b.interchange, 168, b.shipped_now))
 
 
 @query(
@@ -222,13 +222,13 @@ def _(b):
     "AGG14 SET3",
     ctes(
         "interchange",
-        """SELECT round(sum(abs(net_mwh)) / 1000, 2) AS total_gw,
+        """SELECT round(sum(abs(net_mwh)) / 1000, 3) AS total_gw,
  (SELECT count(DISTINCT ba) FROM (SELECT from_ba AS ba FROM flows UNION ALL SELECT to_ba FROM flows)) AS distinct_bas FROM flows""",
         flows=ALL_FLOWS,
     ),
 )
 def _(b):
-    return rounded(rollups.flow_totals(all_flows(b)), 2)
+    return rounded(rollups.flow_totals(all_flows(b)), 3)
 
 
 @query(

@@ -28,9 +28,9 @@ def _(b):
     "PRJ2",
     ctes(
         "day_ahead generation interchange",
-        """SELECT 'forecast' AS tbl, count(*) AS n, round(sum(value_mwh), 2) AS total FROM day_ahead
- UNION ALL SELECT 'generation', count(*), round(sum(value_mwh), 2) FROM generation
- UNION ALL SELECT 'interchange', count(*), round(sum(value_mwh), 2) FROM interchange""",
+        """SELECT 'forecast' AS tbl, count(*) AS n, round(sum(value_mwh), 4) AS total FROM day_ahead
+ UNION ALL SELECT 'generation', count(*), round(sum(value_mwh), 4) FROM generation
+ UNION ALL SELECT 'interchange', count(*), round(sum(value_mwh), 4) FROM interchange""",
     ),
 )
 def _(b):
@@ -43,7 +43,7 @@ def _(b):
         filters.rename_value(df, "value_mwh", new).agg(F.count(F.lit(1)).alias("n"), F.sum(new).alias("total")).withColumn("tbl", F.lit(name))
         for name, (df, new) in frames.items()
     ]
-    return rounded(ranking.union_all(*parts), 2)
+    return rounded(ranking.union_all(*parts))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from hourlake import schemas
@@ -99,26 +100,40 @@ RESOLUTION = """CASE o_orderpriority WHEN '1-URGENT' THEN 'PT15M' WHEN '2-HIGH'
 STEP = "CASE o_orderpriority WHEN '1-URGENT' THEN 15 WHEN '2-HIGH' THEN 30 ELSE 60 END"
 
 
-def _series_texts(b):
-    """One TimeSeries per line: a point with and one without a quantity, a kind for all but returns."""
+def _as_document(batches):
+    """The series of one task between the tags of one document."""
+    yield pd.DataFrame({"value": ["<GL_MarketDocument>"]})
+    yield from batches
+    yield pd.DataFrame({"value": ["</GL_MarketDocument>"]})
+
+
+def _landed_series(b):
+    """Landed XML documents, one per task, read back as TimeSeries elements.
+
+    Each line of an order is a series with one point that has a quantity and one that has none;
+    returned lines name no production type.
+    """
     rows = b.table("lineitem").join(b.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    kind = F.when(
-        F.col("l_returnflag") != "R", F.concat(F.lit("<MktPSRType><psrType>B0"), F.col("l_linenumber").cast("string"), F.lit("</psrType></MktPSRType>"))
-    )
-    xml = F.concat(
-        F.lit("<TimeSeries>"),
+    line = F.col("l_linenumber").cast("string")
+    kind = F.when(F.col("l_returnflag") != "R", F.concat(F.lit("<MktPSRType><psrType>B0"), line, F.lit("</psrType></MktPSRType>")))
+    series = F.concat(
+        F.lit("<TimeSeries><zone>"),
+        F.col("l_returnflag"),
+        F.lit("</zone>"),
         F.coalesce(kind, F.lit("")),
         F.lit("<Period><timeInterval><start>"),
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm"),
-        F.lit("Z</start><end>x</end></timeInterval><resolution>"),
+        F.lit("Z</start></timeInterval><resolution>"),
         F.expr(RESOLUTION),
         F.lit("</resolution><Point><position>"),
-        F.col("l_linenumber").cast("string"),
+        line,
         F.lit("</position><quantity>"),
         F.col("l_quantity").cast("string"),
         F.lit("</quantity></Point><Point><position>9</position></Point></Period></TimeSeries>"),
     )
-    return rows.select(F.col("l_returnflag").alias("bidding_zone"), xml.alias("xml"))
+    landing = shared_dir(b.spark, "landing")
+    rows.select(series.alias("value")).mapInPandas(_as_document, "value string").write.text(landing)
+    return payloads.read_series_xml(b.spark, landing, {"zone": "string"})
 
 
 POINTS = f"""SELECT o_orderdate + to_minutes({STEP} * (l_linenumber - 1)) AS period_utc, l_returnflag AS bidding_zone, l_quantity AS value_mw"""
@@ -130,8 +145,7 @@ POINTS = f"""SELECT o_orderdate + to_minutes({STEP} * (l_linenumber - 1)) AS per
     f"{POINTS}, 'A16' AS process_type, 'ENTSOE' AS source FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
 )
 def _(b):
-    points = payloads.entsoe_points(payloads.parse_series_xml(_series_texts(b), "xml"))
-    return plain_time(normalize.entsoe_load_rows(points))
+    return plain_time(normalize.entsoe_load_rows(payloads.entsoe_points(_landed_series(b), "zone")))
 
 
 @query(
@@ -140,11 +154,7 @@ def _(b):
     f"{POINTS}, 'B0' || l_linenumber AS psr_type, 'ENTSOE' AS source FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R'",
 )
 def _(b):
-    """Written as landed XML files per zone folder and read back from there."""
-    landing = shared_dir(b.spark, "landing")
-    _series_texts(b).write.partitionBy("bidding_zone").text(landing)
-    series = payloads.read_series_xml(b.spark, landing, {"bidding_zone": "string"})
-    return plain_time(normalize.entsoe_generation_rows(payloads.entsoe_points(series)))
+    return plain_time(normalize.entsoe_generation_rows(payloads.entsoe_points(_landed_series(b), "zone")))
 
 
 # --- weather ----------------------------------------------------------------------------------

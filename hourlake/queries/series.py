@@ -184,8 +184,8 @@ def _accuracy_sql(where: str = "TRUE") -> str:
  round(avg(abs(a - f) / nullif(a, 0)) * 100, 4) AS mape_pct, round(sqrt(avg(power(a - f, 2))), 4) AS rmse_mwh
  FROM pairs GROUP BY GROUPING SETS ((source), (source, ba_code))""",
         latest="""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ba_code, period_utc ORDER BY fit_at_utc DESC) AS rn FROM vintages) WHERE rn = 1""",
-        both="SELECT 'model' AS source, ba_code, period_utc, yhat_mwh AS f FROM latest UNION ALL SELECT 'day_ahead', ba_code, period_utc, value_mwh FROM day_ahead",
-        pairs=f"""SELECT source, ba_code, value_mwh AS a, f FROM both JOIN demand USING (ba_code, period_utc), dnow
+        either="SELECT 'model' AS source, ba_code, period_utc, yhat_mwh AS f FROM latest UNION ALL SELECT 'day_ahead', ba_code, period_utc, value_mwh FROM day_ahead",
+        pairs=f"""SELECT source, ba_code, value_mwh AS a, f FROM either JOIN demand USING (ba_code, period_utc), dnow
  WHERE period_utc > now - INTERVAL 168 HOUR AND period_utc <= now AND {where}""",
     )
 
@@ -232,7 +232,7 @@ def _(b):
  round(peak_yhat_mwh, 4) AS peak_yhat_mwh, peak_utc, coalesce(horizon_hours, 0) AS horizon_hours
  FROM (SELECT ba_code, max(period_utc) AS last_actual_utc, arg_max(value_mwh, period_utc) AS last_actual_mwh FROM act GROUP BY 1)
  FULL OUTER JOIN (SELECT ba_code, min(period_utc) AS first_forecast_utc, arg_min(yhat_mwh, period_utc) AS first_yhat_mwh,
- max(yhat_mwh) AS peak_yhat_mwh, arg_max(period_utc, yhat_mwh) AS peak_utc, count(*) AS horizon_hours FROM fc GROUP BY 1) USING (ba_code)""",
+ max(yhat_mwh) AS peak_yhat_mwh, first(period_utc ORDER BY yhat_mwh DESC, period_utc) AS peak_utc, count(*) AS horizon_hours FROM fc GROUP BY 1) USING (ba_code)""",
         **VIEW_CTES,
     ),
 )

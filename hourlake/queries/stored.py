@@ -59,15 +59,13 @@ def _(b):
 @query(
     "upsert_some_columns",
     "SNK1 SNK10",
-    """SELECT o_orderkey AS id, o_orderdate AS period_utc, o_totalprice AS price, CASE WHEN o_orderstatus = 'P' THEN 'late' END AS note FROM orders""",
+    "SELECT event_id AS id, ts AS period_utc, value, CASE WHEN event_type = 'error' THEN 'late' END AS note FROM events",
 )
 def _(b):
-    path = shared_dir(b.spark, "orders")
-    price = F.col("o_totalprice")
-    rows = b.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("period_utc"), price.alias("price"), "o_orderstatus")
-    first = rows.select("id", "period_utc", "price", F.lit(None).cast("string").alias("note"))
-    upkeep.upsert(first, path, ["id", "period_utc"])
-    noted = rows.where("o_orderstatus = 'P'").select("id", "period_utc", F.lit(0.0).alias("price"), F.lit("late").alias("note"))
+    path = shared_dir(b.spark, "noted")
+    rows = b.table("events").select(F.col("event_id").alias("id"), F.col("ts").alias("period_utc"), "value", "event_type")
+    upkeep.upsert(rows.select("id", "period_utc", "value", F.lit(None).cast("string").alias("note")), path, ["id", "period_utc"])
+    noted = rows.where("event_type = 'error'").select("id", "period_utc", F.lit(0.0).alias("value"), F.lit("late").alias("note"))
     upkeep.upsert(noted, path, ["id", "period_utc"], update_cols=["note"])
     return _back(b, path)
 
@@ -208,7 +206,7 @@ def _(b):
 def _(b):
     out = shared_dir(b.spark, "marts")
     demand = b.demand.withColumns({"series": F.lit("D"), "source": F.lit("EIA")})
-    marts.build_marts(marts.RawTables(demand, b.day_ahead, b.generation, b.interchange, b.fuels, b.nations), out)
+    marts.build_marts(marts.RawTables(demand, b.day_ahead, b.generation, b.interchange, b.fuels, b.nations), out, grain="month")
     names = [*marts.FACT_KEYS, "agg_demand_recent", "agg_generation_mix_recent", "agg_renewable_share_network", "dim_balancing_authority"]
     counts = [b.spark.read.parquet(f"{out}/{n}").agg(F.count(F.lit(1)).alias("n")).withColumn("mart", F.lit(n)) for n in names]
     first, *rest = counts

@@ -90,13 +90,6 @@ def parse_json(df: DataFrame, text_col: str, schema: T.StructType) -> DataFrame:
     return df.select(*rest, F.from_json(text_col, schema).alias("_doc")).select(*rest, "_doc.*")
 
 
-def parse_series_xml(df: DataFrame, text_col: str) -> DataFrame:
-    """As ``parse_json`` for the text of one TimeSeries element."""
-    rest = [c for c in df.columns if c != text_col]
-    doc = F.from_xml(text_col, schemas.LOAD_SERIES.simpleString(), {"ignoreNamespace": "true"})
-    return df.select(*rest, doc.alias("_doc")).select(*rest, "_doc.*")
-
-
 # --- readers ----------------------------------------------------------------------------------
 
 

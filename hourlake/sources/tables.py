@@ -16,24 +16,31 @@ def read_facts(
     end=None,
     time_col: str = "period_utc",
     date_col: str = "d",
+    grain: str = "day",
     **equals,
 ) -> DataFrame:
     """A stored fact table for ``start < time <= end`` and given column values.
 
     The bounds are literals, so the same bounds on the date partition column prune folders before
-    any file is opened; the other filters reach the Parquet readers.
+    any file is opened; the other filters reach the Parquet readers. ``grain`` is the table's
+    partition grain.
     """
+
+    def day(value) -> Column:
+        bound = time_literal(value, kind)
+        return bound.cast("date") if grain == "day" else F.trunc(bound, grain)
+
     df = spark.read.parquet(path)
     kind = df.schema[time_col].dataType
     dated = date_col in df.columns
     if start is not None:
         df = df.where(F.col(time_col) > time_literal(start, kind))
         if dated:
-            df = df.where(F.col(date_col) >= time_literal(start, kind).cast("date"))
+            df = df.where(F.col(date_col) >= day(start))
     if end is not None:
         df = df.where(F.col(time_col) <= time_literal(end, kind))
         if dated:
-            df = df.where(F.col(date_col) <= time_literal(end, kind).cast("date"))
+            df = df.where(F.col(date_col) <= day(end))
     for name, value in equals.items():
         values = value if isinstance(value, (list, tuple, set)) else [value]
         df = df.where(F.col(name).isin(*values))

@@ -49,7 +49,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
             if v is None or v is pd.NaT or (isinstance(v, float) and v != v) or v is pd.NA:
                 cells.append("null")
             elif isinstance(v, float):
-                cells.append(repr(v + 0.0))
+                cells.append(str(int(v)) if v == int(v) else repr(v))
             else:
                 cells.append(str(v))
         out.append(tuple(cells))
@@ -67,7 +67,8 @@ def differences(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
         return f"types {odd}"
     a, b = canonical(got), canonical(want)
     if a != b:
-        left, right = [r for r in a if r not in set(b)], [r for r in b if r not in set(a)]
+        in_a, in_b = set(a), set(b)
+        left, right = [r for r in a if r not in in_b], [r for r in b if r not in in_a]
         return f"{len(left)} rows differ, first {left[:2]} expected {right[:2]}"
     return None
 
@@ -81,7 +82,7 @@ def main() -> int:
     spark, con = session(), oracle(sf_dir)
     sqls, bad = entry.oracle_sql(), 0
     for name, fn in entry.queries().items():
-        if part and not any(p in name for p in part.split(",")):
+        if part and not any(p == name or (p.endswith("*") and p[:-1] in name) for p in part.split(",")):
             continue
         started = time.time()
         try:
