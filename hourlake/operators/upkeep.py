@@ -143,21 +143,19 @@ def upsert(
     rows = latest_per(counted, keys, order_col) if order_col else counted.dropDuplicates(keys)
     if time_col:
         rows = with_date(rows, time_col, date_col, grain)
-    staged_batch = shared_dir(spark, "batch")
-    _write(rows, staged_batch, "overwrite", date_col if time_col else None)
+    part_col = date_col if time_col else None
+    first = not exists(spark, path)
+    landed = path if first else shared_dir(spark, "batch")
+    _write(rows, landed, "overwrite", part_col, keys)
     n = int(attempted.get["n"])
-    if n == 0:
-        remove_folder(spark, staged_batch)
-        return 0
-    new = spark.read.schema(rows.schema).parquet(staged_batch)
-    if not exists(spark, path):
-        _write(new, path, "overwrite", date_col if time_col else None, keys)
-    else:
+    if n and not first:
+        new = spark.read.schema(rows.schema).parquet(landed)
         old = spark.read.parquet(path)
         if time_col:
-            old = old.where(F.col(date_col).isin(stored_dates(spark, staged_batch, date_col)))
-        _swap_in(merged(old, new, keys, update_cols), path, date_col if time_col else None, keys)
-    remove_folder(spark, staged_batch)
+            old = old.where(F.col(date_col).isin(stored_dates(spark, landed, date_col)))
+        _swap_in(merged(old, new, keys, update_cols), path, part_col, keys)
+    if not (n and first):
+        remove_folder(spark, landed)
     return n
 
 

@@ -12,7 +12,7 @@ from hourlake.queries.registry import query, rounded
 
 
 def _rollup_sql(unit: str) -> str:
-    return f"""SELECT date_trunc('{unit}', ts) AS bucket_utc, event_type AS ba_code, round(avg(value), 4) AS avg_mwh,
+    return f"""SELECT date_trunc('{unit}', ts) AS bucket_utc, event_type AS ba_code, round(avg(value), 9) AS avg_mwh,
  max(value) AS peak_mwh, min(value) AS trough_mwh, count(*) AS n_obs FROM events GROUP BY 1, 2"""
 
 
@@ -22,12 +22,12 @@ def _events_as_demand(b):
 
 @query("demand_rollup_hourly", "AGG1", _rollup_sql("hour"))
 def _(b):
-    return rounded(rollups.rollup(_events_as_demand(b), "1 hour", ["ba_code"]))
+    return rounded(rollups.rollup(_events_as_demand(b), "1 hour", ["ba_code"]), 9)
 
 
 @query("demand_rollup_daily", "AGG2", _rollup_sql("day"))
 def _(b):
-    return rounded(rollups.rollup(_events_as_demand(b), "1 day", ["ba_code"]))
+    return rounded(rollups.rollup(_events_as_demand(b), "1 day", ["ba_code"]), 9)
 
 
 @query(
@@ -192,10 +192,10 @@ def _(b):
 @query(
     "demand_by_key",
     "AGG13",
-    ctes("dnow", "SELECT ba_code, round(avg(value_mwh), 4) AS avg_mw FROM demand, dnow WHERE period_utc > now - INTERVAL 168 HOUR GROUP BY 1"),
+    ctes("dnow", "SELECT ba_code, round(avg(value_mwh), 9) AS avg_mw FROM demand, dnow WHERE period_utc > now - INTERVAL 168 HOUR GROUP BY 1"),
 )
 def _(b):
-    return rounded(rollups.demand_by_key(filters.trailing(b.demand, "period_utc", 168, b.demand_now)))
+    return rounded(rollups.demand_by_key(filters.trailing(b.demand, "period_utc", 168, b.demand_now)), 9)
 
 
 PAIRS = """SELECT CASE WHEN net >= 0 THEN lo ELSE hi END AS from_ba, CASE WHEN net >= 0 THEN hi ELSE lo END AS to_ba, abs(net) / 1000 AS gw
@@ -236,12 +236,12 @@ def _(b):
     "AGG15",
     ctes(
         "zone_load",
-        """SELECT bidding_zone, round(avg(value_mw), 4) AS avg_mw, round(sum(value_mw), 4) AS total_mw,
+        """SELECT bidding_zone, round(avg(value_mw), 9) AS avg_mw, round(sum(value_mw), 4) AS total_mw,
  round(sum(value_mw) * 0.25, 4) AS energy_mwh FROM zone_load GROUP BY 1""",
     ),
 )
 def _(b):
-    return rounded(rollups.zone_summary(b.zone_load, 0.25))
+    return rounded(rollups.zone_summary(b.zone_load, 0.25), 9)
 
 
 @query(

@@ -14,7 +14,7 @@ CLOSED = "WHERE bucket_utc + INTERVAL 1 {unit} <= (SELECT max(ts) FROM events) -
 
 
 def _rollup_sql(unit: str, delay: int | None) -> str:
-    body = f"""SELECT date_trunc('{unit}', ts) AS bucket_utc, event_type AS ba_code, round(avg(value), 4) AS avg_mwh,
+    body = f"""SELECT date_trunc('{unit}', ts) AS bucket_utc, event_type AS ba_code, round(avg(value), 9) AS avg_mwh,
  max(value) AS peak_mwh, min(value) AS trough_mwh, count(*) AS n_obs FROM events GROUP BY 1, 2"""
     return body if delay is None else f"SELECT * FROM ({body}) {CLOSED.format(unit=unit.upper(), delay=delay)}"
 
@@ -31,14 +31,14 @@ def _feed(b) -> DataFrame:
 def _(b):
     path = shared_dir(b.spark, "hourly")
     rollups.stream_to_table(rollups.stream_rollup(_feed(b), "1 hour", "1 hour", ["ba_code"]), path)
-    return plain_time(rounded(b.spark.read.parquet(path)))
+    return plain_time(rounded(b.spark.read.parquet(path), 9))
 
 
 @query("stream_daily_final", "STR2", _rollup_sql("day", 6))
 def _(b):
     path = shared_dir(b.spark, "daily")
     rollups.stream_to_table(rollups.stream_rollup(_feed(b), "1 day", "6 hours", ["ba_code"]), path)
-    return plain_time(rounded(b.spark.read.parquet(path)))
+    return plain_time(rounded(b.spark.read.parquet(path), 9))
 
 
 @query("stream_daily_live", "STR2 STR4", _rollup_sql("day", None))
@@ -47,19 +47,19 @@ def _(b):
     path = shared_dir(b.spark, "daily")
     live = rollups.stream_rollup(_feed(b), "1 day", "6 hours", ["ba_code"])
     rollups.stream_upsert(live, path, ["bucket_utc", "ba_code"], time_col="bucket_utc", output_mode="update")
-    return plain_time(rounded(b.spark.read.parquet(path).drop(upkeep.DATE_COL)))
+    return plain_time(rounded(b.spark.read.parquet(path).drop(upkeep.DATE_COL), 9))
 
 
 @query(
     "stream_generation_hourly",
     "STR3",
-    f"""SELECT bucket_utc, ba_code, round(total_mwh, 4) AS total_mwh FROM (SELECT date_trunc('hour', ts) AS bucket_utc, event_type AS ba_code,
+    f"""SELECT bucket_utc, ba_code, round(total_mwh, 9) AS total_mwh FROM (SELECT date_trunc('hour', ts) AS bucket_utc, event_type AS ba_code,
  sum(value) AS total_mwh FROM events GROUP BY 1, 2) {CLOSED.format(unit="HOUR", delay=1)}""",
 )
 def _(b):
     path = shared_dir(b.spark, "generation")
     rollups.stream_to_table(rollups.stream_rollup_sum(_feed(b), "1 hour", "1 hour", ["ba_code"]), path)
-    return plain_time(rounded(b.spark.read.parquet(path)))
+    return plain_time(rounded(b.spark.read.parquet(path), 9))
 
 
 LAST_PER_HOUR = """SELECT date_trunc('hour', ts) AS period_utc, event_type AS ba_code, arg_max(value, ts) AS value_mwh FROM events GROUP BY 1, 2"""

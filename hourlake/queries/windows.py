@@ -119,25 +119,25 @@ def _(b):
 def _rolling_sql(expr: str, frame: str) -> str:
     return ctes(
         "demand",
-        f"""SELECT period_utc, ba_code, round(value_mwh, 4) AS value_mwh,
- round(CASE WHEN count(value_mwh) OVER w >= 24 THEN {expr} END, 4) AS rolled
+        f"""SELECT period_utc, ba_code, round(value_mwh, 9) AS value_mwh,
+ round(CASE WHEN count(value_mwh) OVER w >= 24 THEN {expr} END, 9) AS rolled
  FROM demand WINDOW w AS (PARTITION BY ba_code ORDER BY period_utc ROWS BETWEEN {frame})""",
     )
 
 
 @query("rolling_mean", "WIN6", _rolling_sql("avg(value_mwh) OVER w", "167 PRECEDING AND CURRENT ROW"))
 def _(b):
-    return rounded(windows.rolling(b.demand, ["ba_code"], "period_utc", "value_mwh", "avg", into="rolled", block_rows=200))
+    return rounded(windows.rolling(b.demand, ["ba_code"], "period_utc", "value_mwh", "avg", into="rolled", block_rows=200), 9)
 
 
 @query("rolling_mean_shifted", "WIN7", _rolling_sql("avg(value_mwh) OVER w", "168 PRECEDING AND 1 PRECEDING"))
 def _(b):
-    return rounded(windows.rolling(b.demand, ["ba_code"], "period_utc", "value_mwh", "avg", shift=1, into="rolled"))
+    return rounded(windows.rolling(b.demand, ["ba_code"], "period_utc", "value_mwh", "avg", shift=1, into="rolled"), 9)
 
 
 @query("rolling_deviation", "WIN8", _rolling_sql("nullif(stddev_samp(value_mwh) OVER w, 0)", "167 PRECEDING AND CURRENT ROW"))
 def _(b):
-    return rounded(windows.rolling(b.demand, ["ba_code"], "period_utc", "value_mwh", "stddev_samp", into="rolled", block_rows=200))
+    return rounded(windows.rolling(b.demand, ["ba_code"], "period_utc", "value_mwh", "stddev_samp", into="rolled", block_rows=200), 9)
 
 
 HOLES = "SELECT period_utc, ba_code, CASE WHEN value_mwh < 120 THEN NULL ELSE value_mwh END AS v FROM demand"
@@ -168,7 +168,7 @@ def _(b):
     "WIN10",
     ctes(
         "demand",
-        """SELECT period_utc, ba_code, round(coalesce(v, v0 + (v1 - v0) * date_diff('second', t0, period_utc) / nullif(date_diff('second', t0, t1), 0)), 4) AS v
+        """SELECT period_utc, ba_code, round(coalesce(v, v0 + (v1 - v0) * date_diff('second', t0, period_utc) / nullif(date_diff('second', t0, t1), 0)), 9) AS v
  FROM (SELECT *, last_value(v IGNORE NULLS) OVER p AS v0, first_value(v IGNORE NULLS) OVER n AS v1,
  last_value(CASE WHEN v IS NOT NULL THEN period_utc END IGNORE NULLS) OVER p AS t0,
  first_value(CASE WHEN v IS NOT NULL THEN period_utc END IGNORE NULLS) OVER n AS t1 FROM holes
@@ -178,7 +178,7 @@ def _(b):
     ),
 )
 def _(b):
-    return rounded(windows.interpolate(_holes(b), ["ba_code"], "period_utc", "v", piece="3 days"))
+    return rounded(windows.interpolate(_holes(b), ["ba_code"], "period_utc", "v", piece="3 days"), 9)
 
 
 @query(
