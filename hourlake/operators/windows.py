@@ -228,15 +228,17 @@ def demand_headline(demand: DataFrame, as_of=None, hours: int = 48, day: int = 2
         t = F.col("period_utc")
         is_now, is_before = t == now, t == now - interval_hours(day)
         rows = recent.where(is_now | is_before)
+        keys = F.countDistinct(F.when(is_now, F.col("ba_code")))
     else:
         back = F.row_number().over(W.partitionBy("ba_code").orderBy(F.col("period_utc").desc()))
         rows = recent.select("ba_code", "period_utc", "value_mwh", back.alias("_back")).where(F.col("_back") <= day + 1)
         is_now, is_before = F.col("_back") == 1, F.col("_back") == day + 1
+        keys = F.count_if(is_now)  # one latest row per key
     out = rows.agg(
         F.max(F.when(is_now, F.col("period_utc"))).alias("as_of_utc"),
         F.sum(F.when(is_now, v)).alias("total_mwh_now"),
         F.sum(F.when(is_before, v)).alias("total_mwh_24h_ago"),
-        F.countDistinct(F.when(is_now, F.col("ba_code"))).alias("bas"),
+        keys.alias("bas"),
     )
     change = F.col("total_mwh_now") - F.col("total_mwh_24h_ago")
     return out.withColumn("delta_pct", pct(change, "total_mwh_24h_ago", "nullif"))
