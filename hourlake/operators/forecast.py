@@ -288,8 +288,8 @@ def forecast_accuracy(
     both = latest.unionByName(feed.select(*keys, F.col("value_mwh").alias("yhat"), F.lit(names[1]).alias("source")))
     actual = trailing(demand, "period_utc", hours, end, upper=True, max_hours=720)
     pairs = pair_actuals(both, actual, keys)
-    scored = [score_sets(pairs.where(F.col("source") == n)).withColumn("source", F.lit(n)) for n in names]
-    return scored[0].unionByName(scored[1]).select("source", "ba_code", "is_total", "pairs", "mape_pct", "rmse_mwh")
+    sources = demand.sparkSession.createDataFrame([(n,) for n in names], "source string")
+    return score_sets(pairs, groups=sources)
 
 
 def forecast_view(

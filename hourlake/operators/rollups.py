@@ -229,21 +229,28 @@ def zone_totals(zone_hours: DataFrame) -> DataFrame:
 # --- scores, counts, extremes -----------------------------------------------------------------
 
 
-def score_sets(pairs: DataFrame, key_col: str = "ba_code", actual: str = "actual", yhat: str = "yhat") -> DataFrame:
-    """Pairs, MAPE and RMSE overall and per key in one pass.
-
-    Grouping sets give no grand-total row on empty input, so the grand total is its own global
-    aggregate over per-key partial sums and always present. ``is_total`` marks it.
+def score_sets(
+    pairs: DataFrame, key_col: str = "ba_code", actual: str = "actual", yhat: str = "yhat", groups: DataFrame | None = None
+) -> DataFrame:
+    """Pairs, MAPE and RMSE overall and per key, the overall row marked by ``is_total``.
+
+    The totals add up the per-key partial sums, so the pairs are aggregated once. Grouping sets would
+    give no total for empty input; here it is always present. ``groups`` names sources that are scored
+    side by side: one total for each of its rows, whatever pairs there are.
     """
+    by = groups.columns if groups is not None else []
     a, f = F.col(actual), F.col(yhat)
-    parts = pairs.groupBy(key_col).agg(
+    parts = pairs.groupBy(*by, key_col).agg(
         F.count(F.lit(1)).alias("pairs"),
         F.sum(F.abs(a - f) / F.nullif(a, F.lit(0.0))).alias("_ape"),
         F.count(F.nullif(a, F.lit(0.0))).alias("_n_ape"),
         F.sum((a - f) * (a - f)).alias("_se"),
     )
-    summed = [F.sum(c).alias(c) for c in ("pairs", "_ape", "_n_ape", "_se")]
-    total = parts.agg(*summed).select(
+    totals = parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("pairs", "_ape", "_n_ape", "_se")])
+    if groups is not None:
+        totals = groups.join(totals, by, "left")
+    total_rows = totals.select(
+        *by,
         F.lit(None).cast("string").alias(key_col),
         F.coalesce("pairs", F.lit(0)).alias("pairs"),
         "_ape",
@@ -251,8 +258,8 @@ def score_sets(pairs: DataFrame, key_col: str = "ba_code", actual: str = "actual
         "_se",
         F.lit(True).alias("is_total"),
     )
-    rows = parts.withColumn("is_total", F.lit(False)).unionByName(total)
-    return rows.select(
+    return parts.withColumn("is_total", F.lit(False)).unionByName(total_rows).select(
+        *by,
         key_col,
         "is_total",
         "pairs",

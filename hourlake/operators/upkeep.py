@@ -57,6 +57,13 @@ def stored_dates(spark: SparkSession, path: str, date_col: str = DATE_COL) -> li
     return sorted(dt.date.fromisoformat(n[len(prefix) :]) for n in names if n.startswith(prefix) and n != f"{prefix}__HIVE_DEFAULT_PARTITION__")
 
 
+def newest_partition(spark: SparkSession, path: str, date_col: str = DATE_COL) -> DataFrame:
+    """The rows of a table's newest date. The date comes from the folder names, so the scan is
+    pruned to one partition when it is planned."""
+    newest = stored_dates(spark, path, date_col)[-1]
+    return spark.read.parquet(path).where(F.col(date_col) == F.lit(newest))
+
+
 # --- plain writes -----------------------------------------------------------------------------
 
 
@@ -179,7 +186,7 @@ def refresh_mart(
     upsert it; everything on the first run. Stored keys that vanished upstream stay."""
     spark = source.sparkSession
     if exists(spark, path):
-        newest = latest_period(spark.read.parquet(path), time_col)
+        newest = latest_period(newest_partition(spark, path), time_col)
         source = source.where(F.col(time_col) > newest - interval_hours(late_hours))
     return upsert(source, path, keys, time_col, grain=grain)
 

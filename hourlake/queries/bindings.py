@@ -117,7 +117,7 @@ class Bound:
     @property
     def generation_regional(self) -> DataFrame:
         """Fuel totals of the net generation series, off by a share that differs per region."""
-        off = 0.85 + 0.1 * F.col("n_regionkey")
+        off = 0.8513 + 0.1 * F.col("n_regionkey")
         return self._regional().where("l_returnflag = 'N'").groupBy(
             F.col("l_shipdate").alias("period_utc"),
             F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("ba_code"),
@@ -246,7 +246,7 @@ CTES = {
     "demand_long": f"""SELECT l_shipdate AS period_utc, 'R' || n_regionkey AS ba_code, {SERIES_CASE} AS series,
  sum(l_quantity) AS value_mwh FROM regional GROUP BY 1, 2, 3""",
     "generation_regional": f"""SELECT l_shipdate AS period_utc, 'R' || n_regionkey AS ba_code, {FUEL_CASE} AS fuel_code,
- sum(l_quantity * (0.85 + 0.1 * n_regionkey)) AS value_mwh FROM regional WHERE l_returnflag = 'N' GROUP BY 1, 2, 3""",
+ sum(l_quantity * (0.8513 + 0.1 * n_regionkey)) AS value_mwh FROM regional WHERE l_returnflag = 'N' GROUP BY 1, 2, 3""",
     "interchange": """SELECT l_shipdate AS period_utc, 'N' || s_nationkey AS from_ba, 'N' || c_nationkey AS to_ba,
  sum(l_extendedprice * (1 - l_discount)) AS value_mwh FROM lines JOIN orders ON l_orderkey = o_orderkey
  JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3""",

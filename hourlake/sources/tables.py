@@ -47,13 +47,8 @@ def read_facts(
     return df
 
 
-def latest_period(df: DataFrame, time_col: str = "period_utc", date_col: str = "d") -> Column:
-    """Latest time in a stored table as a scalar subquery.
-
-    With a date partition only the newest partition is read: its value comes from the folder names.
-    """
-    if date_col in df.columns:
-        df = df.where(F.col(date_col) == df.agg(F.max(date_col)).scalar())
+def latest_period(df: DataFrame, time_col: str = "period_utc") -> Column:
+    """Latest time as a scalar subquery."""
     return df.agg(F.max(time_col)).scalar()
 
 

@@ -132,7 +132,7 @@ def stream_incremental(
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         if upkeep.exists(spark, path):
-            newest = latest_period(spark.read.parquet(path), time_col)
+            newest = latest_period(upkeep.newest_partition(spark, path), time_col)
             batch = batch.where(F.col(time_col) > newest - interval_hours(late_hours))
         upkeep.upsert(batch, path, keys, time_col, order_col)
 
