@@ -6,10 +6,12 @@ stand before any aggregation, so they reach the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hourlake.functions.times import anchor, interval_hours, seconds_between
 
+DATE_COL = "d"
+
 
 def series_rows(demand: DataFrame, series: str = "D", new_name: str = "demand_mwh") -> DataFrame:
     """One series of the long demand table with its value renamed."""
@@ -28,6 +30,18 @@ def check_hours(hours: int, max_hours: int) -> int:
     return int(hours)
 
 
+def prune_dates(df: DataFrame, time_col: str, start: Column, end: Column | None = None) -> DataFrame:
+    """The bounds of a time window on the day partition of a stored fact table, if ``df`` has one.
+
+    The anchor is a scalar subquery, so the folders to open are chosen when it is known, before any
+    file is read. Facts are partitioned by the day of ``period_utc``.
+    """
+    if time_col != "period_utc" or DATE_COL not in df.columns or not isinstance(df.schema[DATE_COL].dataType, T.DateType):
+        return df
+    df = df.where(F.col(DATE_COL) >= F.to_date(start))
+    return df if end is None else df.where(F.col(DATE_COL) <= F.to_date(end))
+
+
 def trailing(
     df: DataFrame,
     time_col: str,
@@ -39,7 +53,8 @@ def trailing(
     """Rows of the last ``hours`` before ``as_of``; with ``upper`` none after it."""
     check_hours(hours, max_hours)
     end = anchor(df, time_col, as_of)
-    out = df.where(F.col(time_col) > end - interval_hours(hours))
+    start = end - interval_hours(hours)
+    out = prune_dates(df, time_col, start, end if upper else None).where(F.col(time_col) > start)
     return out.where(F.col(time_col) <= end) if upper else out
 
 
@@ -72,8 +87,9 @@ def trailing_per_key(df: DataFrame, time_col: str, hours: int, key_col: str) ->
 def settled(df: DataFrame, time_col: str, as_of=None, from_h: int = 72, to_h: int = 3) -> DataFrame:
     """Hours old enough to be final: ``as_of - from_h < time <= as_of - to_h``."""
     end = anchor(df, time_col, as_of)
+    start, stop = end - interval_hours(from_h), end - interval_hours(to_h)
     t = F.col(time_col)
-    return df.where((t > end - interval_hours(from_h)) & (t <= end - interval_hours(to_h)))
+    return prune_dates(df, time_col, start, stop).where((t > start) & (t <= stop))
 
 
 def only_key(df: DataFrame, key_col: str, key: str | None = None) -> DataFrame:

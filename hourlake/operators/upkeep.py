@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from hourlake import schemas
 from hourlake.functions.times import interval_hours
+from hourlake.operators.filters import DATE_COL
 from hourlake.operators.windows import latest_per
 from hourlake.session import shared_dir
 from hourlake.sources.tables import latest_period
 
-DATE_COL = "d"
+MONTH_COL = "m"
 LATE_HOURS = 36
 RETAIN_DAYS = 730
 ERROR_CHARS = 500
@@ -67,10 +68,15 @@ def newest_partition(spark: SparkSession, path: str, date_col: str = DATE_COL) -
 # --- plain writes -----------------------------------------------------------------------------
 
 
-def with_date(df: DataFrame, time_col: str = "period_utc", date_col: str = DATE_COL, grain: str = "day") -> DataFrame:
-    """The partition column: the row's day, or the first day of its month for sparse tables, whose
-    daily files would be tiny."""
-    return df.withColumn(date_col, F.to_date(time_col) if grain == "day" else F.trunc(time_col, grain))
+def partition_col(grain: str) -> str:
+    """``d`` for the row's day; ``m`` for the first day of its month, for sparse tables whose daily
+    files would be tiny."""
+    return {"day": DATE_COL, "month": MONTH_COL}[grain]
+
+
+def with_date(df: DataFrame, time_col: str = "period_utc", grain: str = "day") -> DataFrame:
+    date = F.to_date(time_col) if grain == "day" else F.trunc(time_col, grain)
+    return df.withColumn(partition_col(grain), date)
 
 
 def _write(df: DataFrame, path: str, mode: str, date_col: str | None, sort_by: list[str] | None = None) -> None:
@@ -85,21 +91,20 @@ def _write(df: DataFrame, path: str, mode: str, date_col: str | None, sort_by: l
         df.hint("rebalance").write.mode(mode).parquet(path)
 
 
-def append_rows(
-    df: DataFrame, path: str, time_col: str | None = "period_utc", date_col: str = DATE_COL, grain: str = "day"
-) -> int:
+def append_rows(df: DataFrame, path: str, time_col: str | None = "period_utc", grain: str = "day") -> int:
     """Append without looking at what is there. The rows are counted while they are written."""
     seen = Observation()
-    dated = with_date(df, time_col, date_col, grain) if time_col else df
+    dated = with_date(df, time_col, grain) if time_col else df
     counted = dated.observe(seen, F.count(F.lit(1)).alias("n"))
-    _write(counted, path, "append", date_col if time_col else None)
+    _write(counted, path, "append", partition_col(grain) if time_col else None)
     return int(seen.get["n"])
 
 
-def overwrite_table(df: DataFrame, path: str, time_col: str | None = None, date_col: str = DATE_COL) -> None:
+def overwrite_table(df: DataFrame, path: str, time_col: str | None = None, grain: str = "day") -> None:
     """Full refresh."""
     if time_col:
-        dated = with_date(df, time_col, date_col).hint("rebalance", date_col)
+        date_col = partition_col(grain)
+        dated = with_date(df, time_col, grain).hint("rebalance", date_col)
         dated.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(date_col).parquet(path)
     else:
         _write(df, path, "overwrite", None)
@@ -135,7 +140,6 @@ def upsert(
     time_col: str | None = "period_utc",
     order_col: str | None = None,
     update_cols: list[str] | None = None,
-    date_col: str = DATE_COL,
     grain: str = "day",
 ) -> int:
     """Insert rows, or update them where their key is stored already. Returns the rows attempted.
@@ -149,8 +153,8 @@ def upsert(
     counted = batch.observe(attempted, F.count(F.lit(1)).alias("n"))
     rows = latest_per(counted, keys, order_col) if order_col else counted.dropDuplicates(keys)
     if time_col:
-        rows = with_date(rows, time_col, date_col, grain)
-    part_col = date_col if time_col else None
+        rows = with_date(rows, time_col, grain)
+    part_col = partition_col(grain) if time_col else None
     first = not exists(spark, path)
     landed = path if first else shared_dir(spark, "batch")
     _write(rows, landed, "overwrite", part_col, keys)
@@ -158,8 +162,8 @@ def upsert(
     if n and not first:
         new = spark.read.schema(rows.schema).parquet(landed)
         old = spark.read.parquet(path)
-        if time_col:
-            old = old.where(F.col(date_col).isin(stored_dates(spark, landed, date_col)))
+        if part_col:
+            old = old.where(F.col(part_col).isin(stored_dates(spark, landed, part_col)))
         _swap_in(merged(old, new, keys, update_cols), path, part_col, keys)
     if not (n and first):
         remove_folder(spark, landed)
@@ -186,7 +190,7 @@ def refresh_mart(
     upsert it; everything on the first run. Stored keys that vanished upstream stay."""
     spark = source.sparkSession
     if exists(spark, path):
-        newest = latest_period(newest_partition(spark, path), time_col)
+        newest = latest_period(newest_partition(spark, path, partition_col(grain)), time_col)
         source = source.where(F.col(time_col) > newest - interval_hours(late_hours))
     return upsert(source, path, keys, time_col, grain=grain)
 
@@ -195,9 +199,15 @@ def refresh_mart(
 
 
 def retain(spark: SparkSession, path: str, as_of: dt.date, days: int = RETAIN_DAYS, date_col: str = DATE_COL) -> list[dt.date]:
-    """Drop date partitions older than ``days``; no data is read."""
+    """Drop date partitions older than ``days``; no data is read. A month goes once its last day is."""
     limit = as_of - dt.timedelta(days=days)
-    old = [d for d in stored_dates(spark, path, date_col) if d < limit]
+
+    def last_day(d: dt.date) -> dt.date:
+        if date_col != MONTH_COL:
+            return d
+        return (d.replace(day=28) + dt.timedelta(days=4)).replace(day=1) - dt.timedelta(days=1)
+
+    old = [d for d in stored_dates(spark, path, date_col) if last_day(d) < limit]
     for d in old:
         remove_folder(spark, f"{path}/{date_col}={d.isoformat()}")
     return old

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from hourlake.operators import upkeep
+from hourlake.operators import filters, upkeep
 from hourlake.streaming import rollups as streams
 
 T0 = dt.datetime(2026, 1, 1)
@@ -71,7 +71,22 @@ def test_purge_and_retention(spark, frame, tmp_path):
 def test_month_partitions(spark, frame, tmp_path):
     path = str(tmp_path / "t")
     upkeep.upsert(frame(rows(0, 1000), SCHEMA), path, KEYS, grain="month")
-    assert upkeep.stored_dates(spark, path) == [dt.date(2026, 1, 1), dt.date(2026, 2, 1)]
+    assert upkeep.stored_dates(spark, path, "m") == [dt.date(2026, 1, 1), dt.date(2026, 2, 1)]
+    upkeep.refresh_mart(frame(rows(990, 1010, 2.0), SCHEMA), path, KEYS, grain="month")
+    assert len(content(spark, path)) == 2020
+    assert upkeep.retain(spark, path, dt.date(2026, 2, 10), days=10, date_col="m") == []
+    assert upkeep.retain(spark, path, dt.date(2026, 2, 11), days=10, date_col="m") == [dt.date(2026, 1, 1)]
+
+
+def test_trailing_window_opens_only_its_days(spark, frame, tmp_path):
+    path = str(tmp_path / "t")
+    upkeep.append_rows(frame(rows(0, 240), SCHEMA), path)
+    table = spark.read.parquet(path)
+    for df, n in ((filters.trailing(table, "period_utc", 24), 48), (filters.settled(table, "period_utc", None, 72, 3), 138)):
+        assert df.count() == n
+        parts = df.select(F.input_file_name().alias("f")).distinct().count()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(d" in plan and parts <= 4
 
 
 def test_error_keeps_the_last_fetch(spark, frame, tmp_path):
