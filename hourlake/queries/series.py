@@ -258,7 +258,18 @@ def _(b):
     return rounded(forecast.mix_shift(b.generation, b.shipped_now))
 
 
-@query("custom_forecaster", "FC2 FC4")
+@query(
+    "custom_forecaster",
+    "FC2 FC4",
+    ctes(
+        "dnow",
+        """SELECT last_utc + to_hours(n) AS period_utc, ba_code, round(m, 9) AS yhat_mwh, round(m * 0.9, 9) AS yhat_lower,
+ round(m * 1.1, 9) AS yhat_upper, 'last-day-mean' AS model_name
+ FROM (SELECT ba_code, max(period_utc) AS last_utc, avg(v) AS m FROM (SELECT *, row_number() OVER (PARTITION BY ba_code ORDER BY period_utc DESC) AS rn FROM grid)
+ WHERE rn <= 24 GROUP BY 1) CROSS JOIN (SELECT CAST(unnest(generate_series(1, 24)) AS INTEGER) AS n) s""",
+        **GRID,
+    ),
+)
 def _(b):
     """The caller's own forecaster per key: here the mean of the last day with a fixed band."""
 
@@ -266,7 +277,7 @@ def _(b):
         mean = float(values[-24:].mean())
         return [mean] * horizon, [mean * 0.9] * horizon, [mean * 1.1] * horizon
 
-    return rounded(forecast.forecast_with(b.demand, last_day_mean, b.demand_now, model_name="last-day-mean"))
+    return rounded(forecast.forecast_with(b.demand, last_day_mean, b.demand_now, model_name="last-day-mean"), 9)
 
 
 @query(
