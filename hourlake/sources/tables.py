@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from hourlake import reference_data as ref, schemas
 from hourlake.functions.labels import add_prefix
-from hourlake.functions.times import anchor, interval_hours, time_literal
+from hourlake.functions.times import interval_hours, time_literal
 
 
 def read_facts(
