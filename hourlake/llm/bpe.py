@@ -20,7 +20,9 @@ from hourlake.llm.segments import segments
 #: Words of up to so many bytes go through the recursive query, which takes a step per contraction.
 LONGEST = 255
 #: Bytes of distinct words in one query, tokens decoded in one query, pieces remembered by a worker.
-WORD_BYTES, DECODED, REMEMBERED = 768 << 10, 1_000_000, 300_000
+WORD_BYTES, DECODED, REMEMBERED = 192 << 10, 400_000, 150_000
+#: Bytes of texts or ids handled at once: encoding and decoding are two Python workers of each running task.
+SLICE_BYTES = 2 << 20
 
 CONTRACT = """
 WITH RECURSIVE s AS (
@@ -170,7 +172,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         return step
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_texts(docs.select(key, text), make, f"{key} {kind}, n_tokens bigint, ids binary", text)
+    return map_texts(docs.select(key, text), make, f"{key} {kind}, n_tokens bigint, ids binary", text, SLICE_BYTES)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -215,10 +217,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         return step
 
     schema = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, encoded.schema, strict=True)) + "decoded binary"
-    return map_texts(encoded.toDF(*names), make, schema, at).toDF(*encoded.columns, "decoded")
+    return map_texts(encoded.toDF(*names), make, schema, at, SLICE_BYTES).toDF(*encoded.columns, "decoded")
 
 
-def digests(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
-    """``key``, n_tokens and the sha-256 of each row's ids and of what they decode to."""
+def digests(encoded: DataFrame, path: str, key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """``key``, n_tokens, the ids if wanted, and the sha-256 of each row's ids and of what they decode to."""
     both = decode(encoded.select(key, "n_tokens", "ids"), path)
-    return both.select(key, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return both.select(key, "n_tokens", *["ids"] * keep_ids, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
