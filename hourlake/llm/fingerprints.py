@@ -136,7 +136,8 @@ def with_next(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame:
     """
     order = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)))
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), order.alias("_order"))
-    cuts = np.unique(np.array(rows.approxQuantile("_order", [i / parts for i in range(1, parts)], 0.25 / parts), np.float64)).astype(np.int64)
+    shares = [i / parts for i in range(1, parts)]
+    cuts = np.unique(np.array(rows.approxQuantile("_order", shares, 0.25 / parts) if shares else [], np.float64)).astype(np.int64)
 
     @F.pandas_udf("int")
     def block(order: pd.Series) -> pd.Series:
