@@ -17,9 +17,10 @@ def wind_to_kph(c: str | Column) -> Column:
     Text without a number gives null. The factor is applied whatever unit the text names.
     """
     text = F.regexp_replace(F.lower(col(c)), "mph|kph|to", " ")
-    words = F.filter(F.split(F.trim(text), "\\s+"), lambda w: w.rlike("^[+-]?(\\d+\\.?\\d*|\\.\\d+)$"))
-    total = F.aggregate(words, F.lit(0.0), lambda acc, w: acc + w.cast("double"))
-    return F.when(F.size(words) > 0, total / F.size(words) * MILE_IN_KM)
+    numbers = F.regexp_extract_all(text, F.lit(r"(?<!\S)[+-]?(?:\d+\.?\d*|\.\d+)(?!\S)"), F.lit(0)).cast("array<double>")
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    add = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), (acc["n"] + 1).alias("n"))
+    return F.aggregate(numbers, zero, add, lambda acc: F.when(acc["n"] > 0, acc["sum"] / acc["n"] * MILE_IN_KM))
 
 
 def wmo_text(c: str | Column) -> Column:

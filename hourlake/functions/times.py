@@ -55,28 +55,37 @@ def seconds_between(start: str | Column, end: str | Column) -> Column:
     return (col(end) - col(start)).cast("interval second").cast("decimal(20,6)").cast("double")
 
 
-def parse_period(c: str | Column) -> Column:
-    """``YYYY-MM-DDTHH`` or an ISO timestamp (blank or T between date and time), read as UTC."""
+def parse_utc(c: str | Column) -> Column:
+    """ISO timestamp text, blank or T between date and time, down to hours, minutes or seconds; a trailing
+    zone or offset is honoured, text without one is UTC. What cannot be read is null.
+
+    The cast takes a zone after seconds only, so they are filled in; texts without a zone need no pattern.
+    """
     text = F.trim(col(c))
-    iso = F.regexp_replace(text, " ", "T")
-    with_minutes = F.when(F.length(iso) == 13, F.concat(iso, F.lit(":00:00"))).otherwise(iso)
-    return F.try_to_timestamp(F.concat(with_minutes, F.lit("Z")))
+    n = F.length(text)
+    zoned = F.regexp_replace(F.regexp_replace(text, "^(.{13})(?=[zZ+-])", "$1:00"), "^(.{16})(?=[zZ+-])", "$1:00")
+    whole = (
+        F.when(n < 13, None)
+        .when(n == 13, F.concat(text, F.lit(":00:00Z")))
+        .when(F.substring(text, 14, 40).rlike("[zZ+-]"), F.upper(zoned))
+        .when(n == 16, F.concat(text, F.lit(":00Z")))
+        .otherwise(F.concat(text, F.lit("Z")))
+    )
+    return F.try_to_timestamp(whole)
 
 
-def parse_utc(c: str | Column) -> Column:
-    """ISO timestamp text; a trailing zone or offset is honoured, text without one is UTC."""
-    text = F.regexp_replace(F.trim(col(c)), "^(\\d{4}-\\d{2}-\\d{2}) ", "$1T")
-    text = F.regexp_replace(text, "T(\\d{2}:\\d{2})(?=$|[zZ+-])", "T$1:00")
-    has_zone = text.rlike("([zZ]|[+-]\\d{2}:?\\d{2})$")
-    return F.try_to_timestamp(F.when(has_zone, text).otherwise(F.concat(text, F.lit("Z"))))
+def parse_period(c: str | Column) -> Column:
+    """``YYYY-MM-DDTHH`` or an ISO timestamp, read as UTC unless it names a zone."""
+    return parse_utc(c)
 
 
 def resolution_minutes(c: str | Column) -> Column:
     """Minutes in an ISO duration of the forms PTnM and PTnH; anything else counts as one hour."""
     text = F.upper(col(c))
-    number = F.try_to_number(F.regexp_extract(text, "^PT(\\d+)[MH]$", 1), F.lit("999999")).cast("int")
+    number = F.regexp_extract(text, "^PT(\\d+)[MH]$", 1).try_cast("bigint")
     return (
         F.when(text.rlike("^PT\\d+M$"), number)
         .when(text.rlike("^PT\\d+H$"), number * 60)
         .otherwise(F.lit(60))
+        .try_cast("int")
     )

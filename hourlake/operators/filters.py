@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hourlake.functions.times import anchor, interval_hours, seconds_between
 
-DATE_COL = "d"
+DATE_COL, MONTH_COL = "d", "m"
 
 
 def series_rows(demand: DataFrame, series: str = "D", new_name: str = "demand_mwh") -> DataFrame:
@@ -31,15 +31,18 @@ def check_hours(hours: int, max_hours: int) -> int:
 
 
 def prune_dates(df: DataFrame, time_col: str, start: Column, end: Column | None = None) -> DataFrame:
-    """The bounds of a time window on the day partition of a stored fact table, if ``df`` has one.
+    """The bounds of a time window on the day or month partition of a stored fact table, if ``df`` has one.
 
-    The anchor is a scalar subquery, so the folders to open are chosen when it is known, before any
-    file is read. Facts are partitioned by the day of ``period_utc``.
+    The anchor is a literal or a scalar subquery, so the folders to open are chosen when it is known,
+    before any file is read. Facts are partitioned by the day or month of ``period_utc``.
     """
-    if time_col != "period_utc" or DATE_COL not in df.columns or not isinstance(df.schema[DATE_COL].dataType, T.DateType):
+    if time_col != "period_utc":
         return df
-    df = df.where(F.col(DATE_COL) >= F.to_date(start))
-    return df if end is None else df.where(F.col(DATE_COL) <= F.to_date(end))
+    for name, low in ((DATE_COL, F.to_date), (MONTH_COL, lambda t: F.trunc(t, "month"))):
+        if name in df.columns and isinstance(df.schema[name].dataType, T.DateType):
+            df = df.where(F.col(name) >= low(start))
+            df = df if end is None else df.where(F.col(name) <= low(end))
+    return df
 
 
 def trailing(
@@ -65,13 +68,14 @@ def trailing_latest(
     key_col: str | None = None,
     key: str | None = None,
     max_hours: int = 168,
+    as_of=None,
 ) -> DataFrame:
-    """Rows of the last ``hours`` available, counted from the latest time in the data.
+    """Rows of the last ``hours`` available, counted from ``as_of`` or else the latest time in the data.
 
     With ``key`` only that key's rows, counted from its own latest time.
     """
     rows = only_key(df, key_col, key) if key_col else df
-    return trailing(rows, time_col, hours, None, max_hours=max_hours)
+    return trailing(rows, time_col, hours, as_of, max_hours=max_hours)
 
 
 def trailing_per_key(df: DataFrame, time_col: str, hours: int, key_col: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Writing and maintaining stored tables: upsert, append, incremental marts, exports, retention, audit.
 
 Tables are Parquet folders partitioned by date. Plain Parquet has no MERGE, so changed date
-partitions are rewritten as a whole with dynamic partition overwrite. The new content is written to
-the cluster's shared folder first. A driver lost while the table's folders are swapped therefore
-leaves a complete copy behind, and executors lost at any time only repeat tasks.
+partitions are rewritten as a whole: beside the table, on its own file system, and then swapped in
+folder by folder with renames. A marker file names a swap that is complete on disk; the next writer of
+the table finishes it, so a driver lost at any moment loses and repeats nothing. Executors lost at any
+time only repeat tasks. A table has one writer at a time.
 """
 
 from __future__ import annotations
@@ -12,16 +13,14 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from hourlake import schemas
-from hourlake.functions.times import interval_hours
-from hourlake.operators.filters import DATE_COL
+from hourlake.functions.times import time_literal
+from hourlake.operators.filters import DATE_COL, MONTH_COL, prune_dates
 from hourlake.operators.windows import latest_per
-from hourlake.session import shared_dir
 from hourlake.sources.tables import latest_period
 
-MONTH_COL = "m"
 LATE_HOURS = 36
 RETAIN_DAYS = 730
 ERROR_CHARS = 500
@@ -30,11 +29,24 @@ ERROR_CHARS = 500
 # --- folders ----------------------------------------------------------------------------------
 
 
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+
 def _folder(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def beside(path: str, what: str) -> str:
+    """A place next to a table. Its name begins with ``_``, so that readers of the parent skip it."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    return f"{parent}/_{name}.{what}"
+
+
+def _part_name(date_col: str, d: dt.date | None) -> str:
+    return f"{date_col}={NULL_PARTITION if d is None else d.isoformat()}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _folder(spark, path)
     return fs.exists(p)
@@ -51,11 +63,11 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 def stored_dates(spark: SparkSession, path: str, date_col: str = DATE_COL) -> list[dt.date]:
-    """The dates a table has partitions for, from its folder names alone."""
+    """The dates a table has partitions for, from its folder names alone; rows without a date not counted."""
     fs, p = _folder(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
     prefix = f"{date_col}="
-    return sorted(dt.date.fromisoformat(n[len(prefix) :]) for n in names if n.startswith(prefix) and n != f"{prefix}__HIVE_DEFAULT_PARTITION__")
+    return sorted(dt.date.fromisoformat(n[len(prefix) :]) for n in names if n.startswith(prefix) and n != f"{prefix}{NULL_PARTITION}")
 
 
 def newest_partition(spark: SparkSession, path: str, date_col: str = DATE_COL) -> DataFrame:
@@ -101,13 +113,10 @@ def append_rows(df: DataFrame, path: str, time_col: str | None = "period_utc", g
 
 
 def overwrite_table(df: DataFrame, path: str, time_col: str | None = None, grain: str = "day") -> None:
-    """Full refresh."""
-    if time_col:
-        date_col = partition_col(grain)
-        dated = with_date(df, time_col, grain).hint("rebalance", date_col)
-        dated.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(date_col).parquet(path)
-    else:
-        _write(df, path, "overwrite", None)
+    """Full refresh. The old content stays until the new one is complete."""
+    recover(df.sparkSession, path)
+    date_col = partition_col(grain) if time_col else None
+    _swap_in(with_date(df, time_col, grain) if time_col else df, path, date_col, whole=True)
 
 
 # --- upsert -----------------------------------------------------------------------------------
@@ -133,6 +142,16 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str], update_cols: list[st
     return o.join(n, keys, "full_outer").select(*out)
 
 
+def one_per_key(rows: DataFrame, keys: list[str], order_col: str | None = None) -> DataFrame:
+    """The row with the largest ``order_col`` of each key; ties go to the largest by all other columns.
+
+    So a repeated task or run keeps the same row. Map columns cannot be compared and don't count.
+    """
+    rest = [f.name for f in rows.schema if f.name not in [*keys, order_col] and not isinstance(f.dataType, T.MapType)]
+    order = [order_col] * (order_col is not None) + rest
+    return latest_per(rows, keys, order[0], order[1:]) if order else rows.dropDuplicates(keys)
+
+
 def upsert(
     batch: DataFrame,
     path: str,
@@ -144,55 +163,130 @@ def upsert(
 ) -> int:
     """Insert rows, or update them where their key is stored already. Returns the rows attempted.
 
-    Several rows of one key in a batch need ``order_col``: the largest wins. Only the date
-    partitions the batch touches are read and rewritten. The list of those dates is the one thing
-    that comes to the driver.
+    Of several rows of one key in a batch the one with the largest ``order_col`` wins, ties and a missing
+    ``order_col`` are decided by all other columns. ``keys`` must hold ``time_col``, or a key that moves
+    to another day would be stored twice. A null in a key is an error and nothing is written: set such rows aside
+    before (``normalize.split_rejects``). The batch is written once and the merged partitions once; only
+    those that the batch touches are read. Their dates are the one thing that comes to the driver.
     """
+    if time_col and time_col not in keys:
+        raise ValueError(f"keys {keys} must contain the time column {time_col}")
     spark = batch.sparkSession
-    attempted = Observation()
-    counted = batch.observe(attempted, F.count(F.lit(1)).alias("n"))
-    rows = latest_per(counted, keys, order_col) if order_col else counted.dropDuplicates(keys)
+    recover(spark, path)
+    seen = Observation()
+    nameless = F.lit(False)
+    for k in keys:
+        nameless = nameless | F.col(k).isNull()
+    counted = batch.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(nameless).alias("bad"))
+    rows = one_per_key(counted, keys, order_col)
     if time_col:
         rows = with_date(rows, time_col, grain)
     part_col = partition_col(grain) if time_col else None
-    first = not exists(spark, path)
-    landed = path if first else shared_dir(spark, "batch")
-    _write(rows, landed, "overwrite", part_col, keys)
-    n = int(attempted.get["n"])
-    if n and not first:
+    landed = beside(path, f"batch-{uuid.uuid4().hex}")
+    try:
+        _write(rows, landed, "overwrite", part_col, keys)
         new = spark.read.schema(rows.schema).parquet(landed)
-        old = spark.read.parquet(path)
-        if part_col:
-            old = old.where(F.col(part_col).isin(stored_dates(spark, landed, part_col)))
-        _swap_in(merged(old, new, keys, update_cols), path, part_col, keys)
-    if not (n and first):
+        if new.isEmpty():  # Spark may leave the observation out of an empty plan
+            return 0
+        n, bad = int(seen.get["n"]), int(seen.get["bad"])
+        if bad:
+            raise ValueError(f"{bad} rows have a null in their key {keys}")
+        if not exists(spark, path):
+            _commit(spark, landed, path, whole=True)
+        else:
+            old = spark.read.parquet(path)
+            if part_col:
+                old = old.where(F.col(part_col).isin(stored_dates(spark, landed, part_col)))
+            _swap_in(merged(old, new, keys, update_cols), path, part_col, keys)
+    finally:
         remove_folder(spark, landed)
     return n
 
 
-def _swap_in(content: DataFrame, path: str, date_col: str | None, sort_by: list[str] | None = None) -> None:
-    """Replace the partitions ``content`` has rows for, by way of a staged copy."""
-    spark = content.sparkSession
-    staged = shared_dir(spark, "staged")
+# --- swapping in ------------------------------------------------------------------------------
+
+
+def _swap_in(content: DataFrame, path: str, date_col: str | None, sort_by: list[str] | None = None, whole: bool = False) -> None:
+    """Replace the partitions ``content`` has rows for, or the ``whole`` table, by a copy written beside it."""
+    staged = beside(path, f"staged-{uuid.uuid4().hex}")
     _write(content, staged, "overwrite", date_col, sort_by)
-    ready = spark.read.schema(content.schema).parquet(staged)
-    if date_col:
-        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date_col).parquet(path)
-    else:
-        ready.write.mode("overwrite").parquet(path)
-    remove_folder(spark, staged)
+    _commit(content.sparkSession, staged, path, whole or not date_col)
+
+
+def _commit(spark: SparkSession, staged: str, path: str, whole: bool) -> None:
+    """Book the swap in the marker file, then carry it out."""
+    fs, marker = _folder(spark, beside(path, "pending"))
+    draft = spark._jvm.org.apache.hadoop.fs.Path(beside(path, "pending-draft"))
+    out = fs.create(draft, True)
+    out.write(bytearray(f"{'whole' if whole else 'parts'} {staged}".encode()))
+    out.close()
+    fs.rename(draft, marker)
+    recover(spark, path)
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Finish a swap that is booked but not carried out to the end; says whether there was one.
+
+    Each writer calls it first. A folder that is still staged replaces the table's; one that isn't has
+    its place already, so the steps can be repeated from anywhere.
+    """
+    marker_path = beside(path, "pending")
+    if not exists(spark, marker_path):
+        return False
+    fs, marker = _folder(spark, marker_path)
+    source = fs.open(marker)
+    kind, _, staged = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode().partition(" ")
+    source.close()
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+
+    def move(source: str, target: str) -> None:
+        fs.delete(hadoop_path(target), True)
+        fs.mkdirs(hadoop_path(target).getParent())
+        if not fs.rename(hadoop_path(source), hadoop_path(target)):
+            raise OSError(f"{source} can't be renamed to {target}")
+
+    if exists(spark, staged):
+        if kind == "whole":
+            move(staged, path)
+        else:
+            for status in fs.listStatus(hadoop_path(staged)):
+                if status.isDirectory():
+                    name = status.getPath().getName()
+                    move(f"{staged}/{name}", f"{path}/{name}")
+            remove_folder(spark, staged)
+    fs.delete(marker, False)
+    return True
+
+
+def refresh_start(spark: SparkSession, path: str, late_hours: int = LATE_HOURS, time_col: str = "period_utc", grain: str = "day") -> dt.datetime | None:
+    """What an incremental run reloads begins after this: the stored maximum less ``late_hours``.
+
+    None on the first run. The newest partition alone is read; the value comes to the driver, so that
+    reads of the raw tables can be pruned with it.
+    """
+    recover(spark, path)
+    if not exists(spark, path) or not stored_dates(spark, path, partition_col(grain)):
+        return None
+    newest = newest_partition(spark, path, partition_col(grain)).agg(F.max(time_col)).first()[0]
+    return newest - dt.timedelta(hours=late_hours)
 
 
 def refresh_mart(
     source: DataFrame, path: str, keys: list[str], late_hours: int = LATE_HOURS, time_col: str = "period_utc", grain: str = "day"
 ) -> int:
     """Incremental mart: reload what is younger than the stored maximum less ``late_hours`` and
-    upsert it; everything on the first run. Stored keys that vanished upstream stay."""
-    spark = source.sparkSession
-    if exists(spark, path):
-        newest = latest_period(newest_partition(spark, path, partition_col(grain)), time_col)
-        source = source.where(F.col(time_col) > newest - interval_hours(late_hours))
-    return upsert(source, path, keys, time_col, grain=grain)
+    upsert it; everything on the first run. Stored keys that vanished upstream stay, and so do
+    stored versions of rows that changed before the reloaded hours."""
+    start = refresh_start(source.sparkSession, path, late_hours, time_col, grain)
+    return upsert(since(source, start, time_col), path, keys, time_col, grain=grain)
+
+
+def since(df: DataFrame, start: dt.datetime | None, time_col: str = "period_utc") -> DataFrame:
+    """Rows after ``start``, or all; day and month partitions are pruned."""
+    if start is None:
+        return df
+    bound = time_literal(start, df.schema[time_col].dataType)
+    return prune_dates(df, time_col, bound).where(F.col(time_col) > bound)
 
 
 # --- removal ----------------------------------------------------------------------------------
@@ -215,17 +309,21 @@ def retain(spark: SparkSession, path: str, as_of: dt.date, days: int = RETAIN_DA
 
 def purge(spark: SparkSession, path: str, predicate: Column, date_col: str = DATE_COL) -> int:
     """Delete the rows a predicate holds for and return their number. Only partitions that have
-    such rows are rewritten; one left without rows is removed."""
+    such rows are rewritten, also that of rows without a date; one left without rows is removed."""
+    recover(spark, path)
     table = spark.read.parquet(path)
     hit = F.coalesce(predicate, F.lit(False))
     per_date = table.groupBy(date_col).agg(F.count_if(hit).alias("gone"), F.count_if(~hit).alias("kept"))
     touched = per_date.where("gone > 0").collect()
     rewritten = [r[date_col] for r in touched if r["kept"]]
     if rewritten:
-        _swap_in(table.where(F.col(date_col).isin(rewritten) & ~hit), path, date_col)
+        of_those = F.col(date_col).isin([d for d in rewritten if d is not None])
+        if None in rewritten:
+            of_those = of_those | F.col(date_col).isNull()
+        _swap_in(table.where(of_those & ~hit), path, date_col)
     for r in touched:
         if not r["kept"]:
-            remove_folder(spark, f"{path}/{date_col}={r[date_col].isoformat()}")
+            remove_folder(spark, f"{path}/{_part_name(date_col, r[date_col])}")
     return sum(r["gone"] for r in touched)
 
 
@@ -253,11 +351,21 @@ def record_run(
     spark.createDataFrame(row, schemas.INGEST_RUN).coalesce(1).write.mode("append").parquet(path)
 
 
-def update_freshness(path: str, source: str, target: DataFrame, rows: int, fetched_at: dt.datetime, error: str | None = None) -> None:
-    """After a load: the target's latest period, the fetch time, the rows and a cleared error."""
-    spark = target.sparkSession
+def compact(spark: SparkSession, path: str) -> None:
+    """Rewrite an unpartitioned table of many small files, such as the log of runs, in few."""
+    recover(spark, path)
+    _swap_in(spark.read.parquet(path), path, None)
+
+
+def update_freshness(path: str, source: str, target: DataFrame | str, rows: int, fetched_at: dt.datetime, error: str | None = None, spark: SparkSession | None = None) -> None:
+    """After a load: the target's latest period, the fetch time, the rows and a cleared error.
+
+    A target that is given by its path and partitioned by day is read in its newest partition only.
+    """
+    spark = spark or target.sparkSession
     row = spark.createDataFrame([(source, fetched_at, rows, error)], "source string, last_fetch_utc timestamp, last_rows long, last_error string")
-    full = row.withColumn("last_period_utc", latest_period(target).cast("timestamp"))
+    newest = newest_partition(spark, target) if isinstance(target, str) else target
+    full = row.withColumn("last_period_utc", latest_period(newest).cast("timestamp"))
     upsert(full.select(*schemas.SOURCE_FRESHNESS.names), path, ["source"], time_col=None)
 
 
@@ -268,21 +376,26 @@ def freshness_error(spark: SparkSession, path: str, source: str, error: str) ->
 
 
 def run_source(
-    spark: SparkSession, ops_path: str, source: str, load: Callable[[], tuple[int, DataFrame]], now: Callable[[], dt.datetime]
+    spark: SparkSession,
+    ops_path: str,
+    source: str,
+    load: Callable[[], tuple[int, DataFrame | str]],
+    now: Callable[[], dt.datetime],
+    error_chars: int | None = ERROR_CHARS,
 ) -> int:
     """Run one source's load and book the outcome.
 
-    ``load`` returns the rows written and the table they went to. A failure is recorded and gives 0,
-    so the other sources go on.
+    ``load`` returns the rows written and the table they went to, or its path. A failure is recorded
+    and gives 0, so the other sources go on; ``error_chars`` cuts its text, None keeps it whole.
     """
     started = now()
     try:
         rows, target = load()
     except Exception as e:  # one source must not stop the rest
-        text = f"{type(e).__name__}: {e}"[:ERROR_CHARS]
+        text = f"{type(e).__name__}: {e}"[:error_chars]
         record_run(spark, f"{ops_path}/ingest_run", source, "error", 0, started, now(), text)
         freshness_error(spark, f"{ops_path}/source_freshness", source, text)
         return 0
     record_run(spark, f"{ops_path}/ingest_run", source, "ok", rows, started, now())
-    update_freshness(f"{ops_path}/source_freshness", source, target, rows, now())
+    update_freshness(f"{ops_path}/source_freshness", source, target, rows, now(), spark=spark)
     return rows

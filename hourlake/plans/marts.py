@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hourlake.functions.numbers import pct
-from hourlake.operators import filters, joins, rollups, upkeep
+from hourlake.operators import filters, joins, quality, rollups, upkeep
+
+#: Sources by the trust in them, best first; unlisted ones come last, by name.
+SOURCE_PRIORITY = ["EIA", "ENTSOE", "NOAA"]
 
 
 def fct_demand(demand: DataFrame, forecast: DataFrame) -> DataFrame:
@@ -42,19 +46,42 @@ FACT_KEYS = {
 }
 
 
-def build_marts(raw: RawTables, out: str, as_of=None, recent_hours: int = 72, grain: str = "day") -> None:
-    """Refresh the facts incrementally, then rebuild the aggregates and the dimension from them.
+#: Raw tables by the columns that name a row whatever its source.
+RAW_KEYS = {
+    "demand": ["period_utc", "ba_code", "series"],
+    "demand_forecast": ["period_utc", "ba_code"],
+    "generation": ["period_utc", "ba_code", "fuel_code"],
+    "interchange": ["period_utc", "from_ba", "to_ba"],
+}
+
+
+def one_source(df: DataFrame, keys: list[str], priority: list[str]) -> DataFrame:
+    """Rows of the best source per key, where the table tells its sources apart."""
+    return quality.resolve_source(df, keys, priority) if "source" in df.columns else df
+
 
-    Each fact is written once; the aggregates read the stored facts with a date bound.
+def build_marts(
+    raw: RawTables, out: str, as_of=None, recent_hours: int = 72, grain: str = "day", priority: list[str] = SOURCE_PRIORITY, late_hours: int = upkeep.LATE_HOURS
+) -> DataFrame:
+    """Refresh the facts incrementally, rebuild the aggregates and the dimension from them, and test them.
+
+    Several sources of one row are resolved by ``priority`` first. The raw tables are filtered by time and
+    by their day or month partition before anything is joined; each fact is written once; the aggregates
+    read the stored facts with a date bound. Returns the rows of ``mart_tests``.
     """
     spark = raw.demand.sparkSession
+    demand_start = upkeep.refresh_start(spark, f"{out}/fct_demand_hourly", late_hours, grain=grain)
+    starts = {"demand": demand_start, "demand_forecast": demand_start} | {
+        t: upkeep.refresh_start(spark, f"{out}/fct_{t}_hourly", late_hours, grain=grain) for t in ("generation", "interchange")
+    }
+    new = {t: one_source(upkeep.since(getattr(raw, t), starts[t]), keys, priority) for t, keys in RAW_KEYS.items()}
     facts = {
-        "fct_demand_hourly": fct_demand(raw.demand, raw.demand_forecast),
-        "fct_generation_hourly": fct_generation(raw.generation, raw.fuels),
-        "fct_interchange_hourly": fct_interchange(raw.interchange),
+        "fct_demand_hourly": fct_demand(new["demand"], new["demand_forecast"].drop("source")),
+        "fct_generation_hourly": fct_generation(new["generation"], raw.fuels),
+        "fct_interchange_hourly": fct_interchange(new["interchange"]),
     }
     for name, df in facts.items():
-        upkeep.refresh_mart(df, f"{out}/{name}", FACT_KEYS[name], grain=grain)
+        upkeep.upsert(df, f"{out}/{name}", FACT_KEYS[name], grain=grain)
     demand = spark.read.parquet(f"{out}/fct_demand_hourly")
     generation = spark.read.parquet(f"{out}/fct_generation_hourly")
     tables = {
@@ -65,6 +92,16 @@ def build_marts(raw: RawTables, out: str, as_of=None, recent_hours: int = 72, gr
     }
     for name, df in tables.items():
         upkeep.overwrite_table(df, f"{out}/{name}")
+    return mart_tests(spark, out)
+
+
+def mart_tests(spark: SparkSession, out: str) -> DataFrame:
+    """The failing rows of each test of the stored marts: mart, test, failures, status."""
+    parts = []
+    for name, tests in MART_TESTS.items():
+        rows = quality.column_tests(spark.read.parquet(f"{out}/{name}"), **tests)
+        parts.append(rows.select(F.lit(name).alias("mart"), "test", "failures", "status"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 MART_TESTS = {

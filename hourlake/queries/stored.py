@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,6 +12,7 @@ from hourlake.plans import marts
 from hourlake.queries.bindings import ctes
 from hourlake.queries.registry import plain_time, query, rounded
 from hourlake.session import shared_dir
+from hourlake.sources import normalize
 from hourlake.sources.tables import read_facts
 
 KEYS = ["period_utc", "ba_code"]
@@ -213,3 +215,96 @@ def _(b):
     for df in rest:
         first = first.unionByName(df)
     return first
+
+
+MART_VALUES = {
+    "fct_demand_hourly": "period_utc AS period, ba_code AS key, CAST(NULL AS STRING) AS other, demand_mwh AS a, forecast_mwh AS b",
+    "fct_generation_hourly": "period_utc AS period, ba_code AS key, fuel_code AS other, generation_mwh AS a, CAST(NULL AS DOUBLE) AS b",
+    "fct_interchange_hourly": "period_utc AS period, from_ba AS key, to_ba AS other, net_mwh AS a, CAST(NULL AS DOUBLE) AS b",
+    "agg_demand_recent": "last_period_utc AS period, ba_code AS key, CAST(NULL AS STRING) AS other, avg_mwh AS a, p95_mwh AS b",
+    "agg_generation_mix_recent": "CAST(NULL AS TIMESTAMP_NTZ) AS period, ba_code AS key, fuel_code AS other, mwh AS a, share_pct AS b",
+    "agg_renewable_share_network": "period_utc AS period, CAST(NULL AS STRING) AS key, CAST(NULL AS STRING) AS other, total_mwh AS a, renewable_pct AS b",
+    "dim_balancing_authority": "CAST(NULL AS TIMESTAMP_NTZ) AS period, ba_code AS key, ba_sk AS other, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b",
+}
+
+
+def _two_sources(df: DataFrame) -> DataFrame:
+    """Each row under two sources, the less trusted one with three times the value."""
+    kinds = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(f).alias("f")) for s, f in (("EIA", 1.0), ("DEMO", 3.0))])
+    return df.withColumn("k", F.explode(kinds)).withColumns({"value_mwh": F.col("value_mwh") * F.col("k.f"), "source": F.col("k.source")}).drop("k")
+
+
+def _marts(b, out: str, grain: str = "month", until: int | None = None) -> DataFrame:
+    demand = b.demand.withColumn("series", F.lit("D"))
+    if until is not None:
+        demand = demand.where(F.col("period_utc") <= b.demand_now - _hours(until))
+    tables = [_two_sources(t) for t in (demand, b.day_ahead, b.generation, b.interchange)]
+    return marts.build_marts(marts.RawTables(*tables, b.fuels, b.nations), out, grain=grain)
+
+
+@query(
+    "mart_values",
+    "SNK3 SNK4 AGG4 AGG5 AGG6 JON4 DQ6 DQ7",
+    ctes(
+        "demand day_ahead generation fuels interchange dnow snow",
+        """SELECT 'fct_demand_hourly' AS mart, d.period_utc AS period, d.ba_code AS key, NULL AS other, round(d.value_mwh, 4) AS a, round(f.value_mwh, 4) AS b
+ FROM demand d LEFT JOIN day_ahead f USING (period_utc, ba_code)
+ UNION ALL SELECT 'fct_generation_hourly', period_utc, ba_code, fuel_code, round(value_mwh, 4), NULL FROM generation
+ UNION ALL SELECT 'fct_interchange_hourly', period_utc, from_ba, to_ba, round(value_mwh, 4), NULL FROM interchange
+ UNION ALL SELECT 'agg_demand_recent', max(period_utc), ba_code, NULL, round(avg(value_mwh), 4), round(quantile_cont(value_mwh, 0.95), 4)
+ FROM demand, dnow WHERE period_utc > now - INTERVAL 72 HOUR GROUP BY ba_code
+ UNION ALL SELECT 'agg_generation_mix_recent', NULL, ba_code, fuel_code, round(mwh, 4), round(mwh / sum(mwh) OVER (PARTITION BY ba_code) * 100, 4) FROM mix
+ UNION ALL SELECT 'agg_renewable_share_network', period_utc, NULL, NULL, round(sum(value_mwh), 4),
+ round(sum(CASE WHEN coalesce(is_renewable, false) THEN value_mwh ELSE 0 END) / sum(value_mwh) * 100, 4) FROM recent LEFT JOIN fuels USING (fuel_code) GROUP BY period_utc
+ UNION ALL SELECT DISTINCT 'dim_balancing_authority', CAST(NULL AS TIMESTAMP), ba_code, md5(ba_code), NULL, NULL FROM demand, dnow WHERE period_utc > now - INTERVAL 90 DAY""",
+        recent="SELECT * FROM generation, snow WHERE period_utc > now - INTERVAL 72 HOUR",
+        mix="SELECT ba_code, fuel_code, sum(value_mwh) AS mwh FROM recent GROUP BY 1, 2",
+    ),
+)
+def _(b):
+    """All marts, built in two runs from tables with two sources of every hour."""
+    out = shared_dir(b.spark, "marts")
+    _marts(b, out, until=48)
+    _marts(b, out)
+    parts = [b.spark.read.parquet(f"{out}/{n}").selectExpr(f"'{n}' AS mart", *columns.split(", ")) for n, columns in MART_VALUES.items()]
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
+@query(
+    "mart_test_rows",
+    "DQ7",
+    "SELECT mart, test, CAST(0 AS BIGINT) AS failures, 'pass' AS status FROM (VALUES "
+    + ", ".join(
+        f"('{m}', '{t}')"
+        for m, tests in marts.MART_TESTS.items()
+        for t in [*(f"not_null_{c}" for c in tests.get("not_null", [])), *tests.get("exprs", {}), *(f"unique_{c}" for c in tests.get("unique", []))]
+    )
+    + ") AS v(mart, test)",
+)
+def _(b):
+    return _marts(b, shared_dir(b.spark, "marts"))
+
+
+@query(
+    "rejected_periods",
+    "NRM1 NRM3 NRM12 SNK1",
+    """SELECT 'stored' AS kind, date_trunc('hour', ts) AS period_utc, CAST(user_id AS VARCHAR) AS ba_code, max(value) AS value_mwh, CAST(count(*) AS BIGINT) AS n
+ FROM events WHERE event_type <> 'error' AND user_id % 7 <> 0 GROUP BY 2, 3
+ UNION ALL SELECT CASE WHEN event_type = 'error' THEN 'period' ELSE 'respondent' END, NULL, NULL, NULL, count(*)
+ FROM events WHERE event_type = 'error' OR user_id % 7 = 0 GROUP BY 1""",
+)
+def _(b):
+    """Records with unreadable periods and malformed keys are set aside; the others, with several values
+    of an hour, are stored twice with the same result."""
+    period = F.when(F.col("event_type") == "error", F.concat(F.lit("on "), F.col("ts").cast("string"))).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:00'Z'"))
+    key = F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("no. "), F.col("user_id").cast("string"))).otherwise(F.col("user_id").cast("string"))
+    records = b.table("events").select(period.alias("period"), key.alias("respondent"), F.lit("D").alias("type"), F.col("value").cast("string").alias("value"))
+    good, bad = normalize.store_split(records, shared_dir(b.spark, "split"), ["respondent"], strict=True)
+    demand, _ = normalize.route_region(good)
+    hours = demand.groupBy("period_utc", "ba_code").agg(F.count(F.lit(1)).alias("n"))
+    path = shared_dir(b.spark, "demand")
+    for _ in range(2):
+        upkeep.upsert(demand, path, KEYS)
+    stored = b.spark.read.parquet(path).join(hours, KEYS).select(F.lit("stored").alias("kind"), *KEYS, "value_mwh", "n")
+    counts = bad.groupBy(F.col("reason").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return plain_time(stored.unionByName(counts, allowMissingColumns=True))

@@ -30,14 +30,14 @@ def _feed(b) -> DataFrame:
 @query("stream_hourly_final", "STR1 SRC12 STR7", _rollup_sql("hour", 1))
 def _(b):
     path = shared_dir(b.spark, "hourly")
-    rollups.stream_to_table(rollups.stream_rollup(_feed(b), "1 hour", "1 hour", ["ba_code"]), path)
+    rollups.stream_to_table(rollups.stream_rollup(_feed(b), "1 hour", "1 hour", ["ba_code"]), path, shared_dir(b.spark, "checkpoint"))
     return plain_time(rounded(b.spark.read.parquet(path), 9))
 
 
 @query("stream_daily_final", "STR2", _rollup_sql("day", 6))
 def _(b):
     path = shared_dir(b.spark, "daily")
-    rollups.stream_to_table(rollups.stream_rollup(_feed(b), "1 day", "6 hours", ["ba_code"]), path)
+    rollups.stream_to_table(rollups.stream_rollup(_feed(b), "1 day", "6 hours", ["ba_code"]), path, shared_dir(b.spark, "checkpoint"))
     return plain_time(rounded(b.spark.read.parquet(path), 9))
 
 
@@ -46,7 +46,7 @@ def _(b):
     """Every change upserted, so the open day is there as well."""
     path = shared_dir(b.spark, "daily")
     live = rollups.stream_rollup(_feed(b), "1 day", "6 hours", ["ba_code"])
-    rollups.stream_upsert(live, path, ["bucket_utc", "ba_code"], time_col="bucket_utc", output_mode="update")
+    rollups.stream_upsert(live, path, ["bucket_utc", "ba_code"], shared_dir(b.spark, "checkpoint"), time_col="bucket_utc", output_mode="update")
     return plain_time(rounded(b.spark.read.parquet(path).drop(upkeep.DATE_COL), 9))
 
 
@@ -58,7 +58,7 @@ def _(b):
 )
 def _(b):
     path = shared_dir(b.spark, "generation")
-    rollups.stream_to_table(rollups.stream_rollup_sum(_feed(b), "1 hour", "1 hour", ["ba_code"]), path)
+    rollups.stream_to_table(rollups.stream_rollup_sum(_feed(b), "1 hour", "1 hour", ["ba_code"]), path, shared_dir(b.spark, "checkpoint"))
     return plain_time(rounded(b.spark.read.parquet(path), 9))
 
 
@@ -76,7 +76,7 @@ def _(b):
     """The feed is delivered twice, the second time from the start."""
     path = shared_dir(b.spark, "readings")
     for _ in range(2):
-        rollups.stream_upsert(_revisions(b), path, ["period_utc", "ba_code"], order_col="seen_at")
+        rollups.stream_upsert(_revisions(b), path, ["period_utc", "ba_code"], shared_dir(b.spark, "checkpoint"), order_col="seen_at")
     return plain_time(b.spark.read.parquet(path).select("period_utc", "ba_code", "value_mwh"))
 
 
@@ -85,7 +85,7 @@ def _(b):
     """Every row is delivered twice and kept once."""
     path = shared_dir(b.spark, "unique")
     twice = _feed(b).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    rollups.stream_to_table(rollups.stream_dedup(twice, ["event_id"], "period_utc", "1 hour"), path)
+    rollups.stream_to_table(rollups.stream_dedup(twice, ["event_id"], "period_utc", "1 hour"), path, shared_dir(b.spark, "checkpoint"))
     out = b.spark.read.parquet(path).groupBy("ba_code").agg(F.count(F.lit(1)).alias("n"), F.sum("value_mwh").alias("mwh"))
     return rounded(out)
 
@@ -108,5 +108,5 @@ def _(b):
     hour = F.window("ts", "1 hour")["start"].cast("timestamp")
     stale = b.table("events").select(hour.alias("period_utc"), F.col("event_type").alias("ba_code")).distinct()
     upkeep.upsert(stale.select(*keys, F.lit(-1.0).alias("value_mwh"), F.lit(None).cast("timestamp").alias("seen_at")), path, keys)
-    rollups.stream_incremental(_revisions(b), path, keys, order_col="seen_at")
+    rollups.stream_incremental(_revisions(b), path, keys, shared_dir(b.spark, "checkpoint"), order_col="seen_at")
     return plain_time(b.spark.read.parquet(path).select(*keys, "value_mwh"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -32,14 +34,20 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@functools.cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="hourlake-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's ``spark.checkpoint.dir``.
 
-    Every executor must see it, so the session's own setting is used. Only a session that has none
-    (tests, a laptop) gets a temporary folder.
+    Every executor must see it, so the session's own setting is used. Only a local session that has none
+    (tests, a laptop) gets a temporary folder; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="hourlake-")
-        spark.sparkContext.setCheckpointDir(base)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_base()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

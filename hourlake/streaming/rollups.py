@@ -5,13 +5,13 @@ Streams need event time as TIMESTAMP, so zone-less columns are cast under the se
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from hourlake.functions.times import interval_hours
+from hourlake.functions.times import time_literal
 from hourlake.operators import upkeep
-from hourlake.session import shared_dir
-from hourlake.sources.tables import latest_period
 
 
 def read_feed(
@@ -65,10 +65,6 @@ def stream_dedup(sdf: DataFrame, id_cols: list[str], time_col: str, watermark: s
     return event_time(sdf, time_col).withWatermark(time_col, watermark).dropDuplicatesWithinWatermark(id_cols)
 
 
-def _checkpoint(spark: SparkSession, checkpoint: str | None, name: str) -> str:
-    return checkpoint or shared_dir(spark, name)
-
-
 def run_stream(writer: DataStreamWriter, trigger: str | None = None) -> StreamingQuery:
     """Start a query: every ``trigger`` (such as ``'15 minutes'``), or once over all that is there.
 
@@ -81,13 +77,16 @@ def run_stream(writer: DataStreamWriter, trigger: str | None = None) -> Streamin
     return query
 
 
-def stream_to_table(sdf: DataFrame, path: str, checkpoint: str | None = None, trigger: str | None = None) -> StreamingQuery:
-    """Append a stream's final rows to a Parquet folder, exactly once."""
+def stream_to_table(sdf: DataFrame, path: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
+    """Append a stream's final rows to a Parquet folder, exactly once.
+
+    ``checkpoint`` is where the stream goes on after a restart: the same path each time, one per table.
+    """
     writer = (
         sdf.writeStream.outputMode("append")
         .format("parquet")
         .option("path", path)
-        .option("checkpointLocation", _checkpoint(sdf.sparkSession, checkpoint, "stream"))
+        .option("checkpointLocation", checkpoint)
     )
     return run_stream(writer, trigger)
 
@@ -96,9 +95,9 @@ def stream_upsert(
     sdf: DataFrame,
     path: str,
     keys: list[str],
+    checkpoint: str,
     time_col: str = "period_utc",
     order_col: str | None = None,
-    checkpoint: str | None = None,
     trigger: str | None = None,
     output_mode: str = "append",
 ) -> StreamingQuery:
@@ -111,7 +110,7 @@ def stream_upsert(
     writer = (
         sdf.writeStream.outputMode(output_mode)
         .foreachBatch(write)
-        .option("checkpointLocation", _checkpoint(sdf.sparkSession, checkpoint, "stream"))
+        .option("checkpointLocation", checkpoint)
     )
     return run_stream(writer, trigger)
 
@@ -120,23 +119,23 @@ def stream_incremental(
     sdf: DataFrame,
     path: str,
     keys: list[str],
+    checkpoint: str,
     late_hours: int = upkeep.LATE_HOURS,
     time_col: str = "period_utc",
     order_col: str | None = None,
-    checkpoint: str | None = None,
     trigger: str | None = None,
+    on_late: Callable[[int], None] | None = None,
 ) -> StreamingQuery:
     """Feed a mart from a stream; facts later than ``late_hours`` behind the stored maximum stay out,
-    as they do in the batch refresh."""
+    as they do in the batch refresh. ``on_late`` is told after each batch how many that were."""
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        if upkeep.exists(spark, path):
-            newest = latest_period(upkeep.newest_partition(spark, path), time_col)
-            batch = batch.where(F.col(time_col) > newest - interval_hours(late_hours))
+        start, late = upkeep.refresh_start(batch.sparkSession, path, late_hours, time_col), Observation()
+        if start is not None:
+            bound = time_literal(start, batch.schema[time_col].dataType)
+            batch = batch.observe(late, F.count_if(F.col(time_col) <= bound).alias("n")).where(F.col(time_col) > bound)
         upkeep.upsert(batch, path, keys, time_col, order_col)
+        if on_late:
+            on_late(int(late.get["n"]) if start is not None else 0)
 
-    writer = sdf.writeStream.foreachBatch(write).option(
-        "checkpointLocation", _checkpoint(sdf.sparkSession, checkpoint, "stream")
-    )
-    return run_stream(writer, trigger)
+    return run_stream(sdf.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)

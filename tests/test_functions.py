@@ -24,8 +24,11 @@ def test_periods(frame):
 
 def test_times_with_and_without_zone(frame):
     texts = ["2026-01-01 02:00:00", "2026-01-01T02:00Z", "2026-01-01T02:00:00+02:00", "", None]
-    got = values(frame, texts, lambda c: parse_utc(c).cast("timestamp_ntz"))
-    assert got == [naive(2026, 1, 1, 2), naive(2026, 1, 1, 2), naive(2026, 1, 1), None, None]
+    want = [naive(2026, 1, 1, 2), naive(2026, 1, 1, 2), naive(2026, 1, 1), None, None]
+    texts += ["2026-01-01T02", "2026-01-01T02Z", "2026-01-01 02:30", "2026-01-01T02:30z", "2026-01-01T02:00+0200", "2026-01-01T02+02", " 2026-01-01 02:30:01.5Z ", "2026-01-01", "x" * 13]
+    want += [naive(2026, 1, 1, 2), naive(2026, 1, 1, 2), naive(2026, 1, 1, 2, 30), naive(2026, 1, 1, 2, 30), naive(2026, 1, 1), naive(2026, 1, 1), naive(2026, 1, 1, 2, 30, 1, 500000), None, None]
+    for parse in (parse_utc, parse_period):
+        assert values(frame, texts, lambda c: parse(c).cast("timestamp_ntz")) == want
 
 
 def test_numbers(frame):
@@ -36,13 +39,13 @@ def test_numbers(frame):
 
 
 def test_resolution(frame):
-    assert values(frame, ["PT15M", "PT30M", "PT60M", "PT1H", "P1D", "?"], resolution_minutes) == [15, 30, 60, 60, 60, 60]
+    assert values(frame, ["PT15M", "PT30M", "PT60M", "PT1H", "P1D", "?", "PT1234567M"], resolution_minutes) == [15, 30, 60, 60, 60, 60, 1234567]
 
 
 def test_wind(frame):
-    got = values(frame, ["10 mph", "10 to 15 mph", "20 kph", "calm", "", None], wind_to_kph)
+    got = values(frame, ["10 mph", "10 to 15 mph", "20 kph", "calm", "", None, "x10 1e3 mph", ".5 5. mph"], wind_to_kph)
     assert got[:3] == pytest.approx([16.09344, 20.1168, 32.18688])
-    assert got[3:] == [None, None, None]
+    assert got[3:7] == [None, None, None, None] and got[7] == pytest.approx(2.75 * 1.609344)
 
 
 def test_weather_codes(frame):
