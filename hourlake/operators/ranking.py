@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hourlake import reference_data as ref
+from hourlake.operators.filters import trailing
 
 
 def order_by(df: DataFrame, *specs: str) -> DataFrame:
@@ -137,35 +138,37 @@ def incomplete_tail(
     value_col: str,
     group: list[str] | None = None,
     max_trim: int = 3,
+    hours: int | None = None,
+    as_of=None,
 ) -> DataFrame:
     """Per series the time from which trailing buckets count as incomplete, and how many there are.
 
     A trailing bucket is incomplete when it has under 0.9 of the median contributor count or under
     0.6 of the median value. Only the unbroken run at the end counts, at most ``max_trim`` buckets
     and never so many that fewer than two stay. Series of under four buckets and series with a
-    median of zero or less are left alone (null time). The input holds one row per bucket of a
-    bounded window; a group is its hours.
+    median of zero or less are left alone (null time). The input holds one row per bucket. ``hours`` takes the
+    medians over that many before ``as_of`` (default: the latest bucket); without it over all. Of each
+    series only the last ``max_trim`` buckets are looked at one by one.
     """
-    group = group or []
-    bucket = F.struct(F.col(time_col).alias("t"), F.col(count_col).alias("c"), F.col(value_col).alias("v"))
-    stats = buckets.groupBy(*group).agg(
-        F.median(count_col).alias("_mc"),
-        F.median(value_col).alias("_mv"),
-        F.count(F.lit(1)).alias("_n"),
-        F.slice(F.sort_array(F.collect_list(bucket), asc=False), 1, max_trim).alias("_tail"),
-    )
-
-    def short(b: Column) -> Column:
-        return (b["c"] < F.col("_mc") * 0.9) | (b["v"] < F.col("_mv") * 0.6)
-
-    complete_at = F.array_position(F.transform("_tail", lambda b: F.when(short(b), 1).otherwise(0)), 0)
-    run = F.when(complete_at == 0, F.size("_tail")).otherwise(complete_at - 1)
-    allowed = F.least(F.lit(max_trim), F.col("_n") - 2)
+    group = group or ["_all"]
+    if group == ["_all"]:
+        buckets = buckets.withColumn("_all", F.lit(1))
+    if hours is not None:
+        buckets = trailing(buckets, time_col, hours, as_of, max_hours=hours)
+    stats = buckets.groupBy(*group).agg(F.median(count_col).alias("_mc"), F.median(value_col).alias("_mv"), F.count(F.lit(1)).alias("_n"))
+    back = F.row_number().over(W.partitionBy(*group).orderBy(F.col(time_col).desc()))
+    last = buckets.select(*group, F.col(time_col).alias("_t"), F.col(count_col).alias("_c"), F.col(value_col).alias("_v"), back.alias("_back"))
+    last = last.where(F.col("_back") <= max_trim).join(stats, group)
+    short = (F.col("_c") < F.col("_mc") * 0.9) | (F.col("_v") < F.col("_mv") * 0.6)
+    # the run ends before the first complete bucket, counted from the end
+    run = F.coalesce(F.min(F.when(~F.coalesce(short, F.lit(False)), F.col("_back"))) - 1, F.max("_back"))
+    times = [F.max(F.when(F.col("_back") == i, F.col("_t"))).alias(f"_t{i}") for i in range(1, max_trim + 1)]
+    found = last.groupBy(*group).agg(*[F.first(c).alias(c) for c in ("_mc", "_mv", "_n")], run.alias("_run"), *times)
     usable = (F.col("_n") >= 4) & (F.col("_mc") > 0) & (F.col("_mv") > 0)
-    trimmed = F.when(usable, F.least(run, allowed)).otherwise(0).cast("int")
-    return stats.select(*group, trimmed.alias("n_trimmed"), "_tail").select(
-        *group, "n_trimmed", F.when(F.col("n_trimmed") > 0, F.col("_tail")[F.col("n_trimmed") - 1]["t"]).alias("trim_from")
-    )
+    trimmed = F.when(usable, F.least(F.col("_run"), F.lit(max_trim), F.col("_n") - 2)).otherwise(0).cast("int")
+    start = F.coalesce(*[F.when(F.col("n_trimmed") == i, F.col(f"_t{i}")) for i in range(1, max_trim + 1)])
+    out = found.withColumn("n_trimmed", trimmed)
+    return out.select(*[g for g in group if g != "_all"], "n_trimmed", start.alias("trim_from"))
 
 
 def drop_incomplete_tail(
@@ -175,9 +178,11 @@ def drop_incomplete_tail(
     value_col: str,
     group: list[str] | None = None,
     max_trim: int = 3,
+    hours: int | None = None,
+    as_of=None,
 ) -> DataFrame:
     """The buckets without their incomplete trailing run; inner buckets always stay."""
-    tail = incomplete_tail(buckets, time_col, count_col, value_col, group, max_trim)
+    tail = incomplete_tail(buckets, time_col, count_col, value_col, group, max_trim, hours, as_of)
     if group:
         kept = buckets.join(tail.drop("n_trimmed"), group)
         return kept.where(F.col("trim_from").isNull() | (F.col(time_col) < F.col("trim_from"))).drop("trim_from")

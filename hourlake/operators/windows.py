@@ -17,6 +17,7 @@ from hourlake.functions.times import anchor, bucket_start, interval_hours, secon
 from hourlake.operators.filters import trailing
 from hourlake.operators.joins import scalar
 
+#: Pieces of a key's history: a width of time, or a number of rows.
 PIECE = "30 days"
 BLOCK_ROWS = 100_000
 
@@ -24,13 +25,29 @@ BLOCK_ROWS = 100_000
 # --- pieces -----------------------------------------------------------------------------------
 
 
-def number_rows(df: DataFrame, keys: list[str], time_col: str, into: str = "_row", piece: str = PIECE) -> DataFrame:
+def with_pieces(df: DataFrame, keys: list[str], time_col: str, piece: str | int = PIECE, unit: str = "1 hour") -> DataFrame:
+    """Adds ``_piece``: consecutive parts of each key's history, in order.
+
+    A text is a width of time. That needs no shuffle, but a piece holds whatever a busy key has in it. A
+    number is a bound of rows: the rows per key and ``unit`` are counted, and a piece ends with the unit
+    in which its rows reach the bound, so it has at most that many and one unit's more.
+    """
+    if isinstance(piece, str):
+        return df.withColumn("_piece", bucket_start(time_col, piece))
+    marked = df.withColumn("_unit", bucket_start(time_col, unit))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_unit").rowsBetween(W.unboundedPreceding, -1))
+    counts = marked.groupBy(*keys, "_unit").agg(F.count(F.lit(1)).alias("_n"))
+    places = counts.select(*keys, "_unit", F.floor(F.coalesce(before, F.lit(0)) / piece).alias("_piece"))
+    return marked.join(places, [*keys, "_unit"]).drop("_unit")
+
+
+def number_rows(df: DataFrame, keys: list[str], time_col: str, into: str = "_row", piece: str | int = PIECE) -> DataFrame:
     """Position of every row in its key's time order, from 1.
 
     Rows are numbered within pieces of the time axis. The counts of the earlier pieces are added,
     from a frame with one row per key and piece.
     """
-    cut = df.withColumn("_piece", bucket_start(time_col, piece))
+    cut = with_pieces(df, keys, time_col, piece)
     before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1))
     offsets = (
         cut.groupBy(*keys, "_piece")
@@ -65,16 +82,16 @@ OWN_ROW = "_home = _block"
 
 
 def with_lags(
-    df: DataFrame, keys: list[str], time_col: str, value_col: str, lags: list[int], by: str = "rows", block_rows: int = BLOCK_ROWS
+    df: DataFrame, keys: list[str], time_col: str, value_col: str, lags: list[int], by: str = "rows", block_rows: int = BLOCK_ROWS, piece: str | int = PIECE
 ) -> DataFrame:
-    """Earlier values of each key as columns ``lag_n``.
+    """Earlier values of each key as columns ``lag_n``; all columns stay.
 
     ``by='rows'`` counts rows, so gaps shift the match; ``by='time'`` looks up the row exactly n
     hours earlier. The latter is one aggregation on (key, time): every row is also sent to the
     times it is the lag of.
     """
     if by == "rows":
-        numbered = number_rows(df, keys, time_col)
+        numbered = number_rows(df, keys, time_col, piece=piece)
         laid_out, w = blocked(numbered, keys, "_row", max(lags), block_rows)
         columns = {f"lag_{n}": F.lag(value_col, n).over(w) for n in lags}
         return laid_out.withColumns(columns).where(OWN_ROW).drop("_row", "_home", "_block")
@@ -82,13 +99,16 @@ def with_lags(
         raise ValueError(f"by must be 'rows' or 'time', got {by!r}")
     copies = [F.struct(F.lit(0).alias("n"), F.col(time_col).alias("at"))]
     copies += [F.struct(F.lit(n).alias("n"), (F.col(time_col) + interval_hours(n)).alias("at")) for n in lags]
-    sent = df.select(*keys, F.col(value_col).alias("_v"), F.explode(F.array(*copies)).alias("_c"))
+    rest = [c for c in df.columns if c not in (*keys, time_col, value_col)]
+    sent = df.select(*keys, F.col(value_col).alias("_v"), F.struct(F.lit(1), *rest).alias("_rest"), F.explode(F.array(*copies)).alias("_c"))
     own = F.max(F.when(F.col("_c.n") == 0, F.col("_v"))).alias(value_col)
+    others = [F.first(F.when(F.col("_c.n") == 0, F.col("_rest")), True).alias("_rest")] if rest else []
     columns = [F.max(F.when(F.col("_c.n") == n, F.col("_v"))).alias(f"lag_{n}") for n in lags]
     matched = sent.groupBy(*keys, F.col("_c.at").alias(time_col)).agg(
-        own, *columns, F.count_if(F.col("_c.n") == 0).alias("_own")
+        own, *others, *columns, F.count_if(F.col("_c.n") == 0).alias("_own")
     )
-    return matched.where("_own > 0").drop("_own")
+    matched = matched.where("_own > 0").withColumns({c: F.col(f"_rest.{c}") for c in rest})
+    return matched.select(*df.columns, *[f"lag_{n}" for n in lags])
 
 
 ROLLING = {"avg": F.avg, "stddev_samp": F.stddev_samp, "sum": F.sum, "min": F.min, "max": F.max}
@@ -105,6 +125,7 @@ def rolling(
     shift: int = 0,
     into: str | None = None,
     block_rows: int = BLOCK_ROWS,
+    piece: str | int = PIECE,
 ) -> DataFrame:
     """A rolling measure over the last ``n`` rows, null below ``min_n`` values.
 
@@ -112,7 +133,7 @@ def rolling(
     of zero becomes null.
     """
     into = into or f"{value_col}_{fn}_{n}"
-    numbered = number_rows(df, keys, time_col)
+    numbered = number_rows(df, keys, time_col, piece=piece)
     laid_out, w = blocked(numbered, keys, "_row", n - 1 + shift, block_rows)
     frame = w.rowsBetween(-(n - 1 + shift), -shift)
     measure = ROLLING[fn](value_col).over(frame)
@@ -125,7 +146,7 @@ def rolling(
 # --- known values before and after ------------------------------------------------------------
 
 
-def neighbours(df: DataFrame, keys: list[str], time_col: str, value_col: str, piece: str = PIECE) -> DataFrame:
+def neighbours(df: DataFrame, keys: list[str], time_col: str, value_col: str, piece: str | int = PIECE) -> DataFrame:
     """Adds ``_prev`` and ``_next``: the (time, value) of the nearest non-null value at or before
     and at or after each row.
 
@@ -133,7 +154,7 @@ def neighbours(df: DataFrame, keys: list[str], time_col: str, value_col: str, pi
     piece holding its first and last known value.
     """
     known = F.when(F.col(value_col).isNotNull(), F.struct(F.col(time_col).alias("t"), F.col(value_col).alias("v")))
-    cut = df.withColumn("_piece", bucket_start(time_col, piece)).withColumn("_known", known)
+    cut = with_pieces(df, keys, time_col, piece).withColumn("_known", known)
     by_piece = W.partitionBy(*keys).orderBy("_piece")
     summary = (
         cut.groupBy(*keys, "_piece")
@@ -156,7 +177,7 @@ def neighbours(df: DataFrame, keys: list[str], time_col: str, value_col: str, pi
     )
 
 
-def fill(df: DataFrame, keys: list[str], time_col: str, value_col: str, order: str = "bf", piece: str = PIECE) -> DataFrame:
+def fill(df: DataFrame, keys: list[str], time_col: str, value_col: str, order: str = "bf", piece: str | int = PIECE) -> DataFrame:
     """Nulls filled from neighbours: ``b`` takes the next known value, ``f`` the previous one, in
     the order given."""
     sides = {"b": F.col("_next.v"), "f": F.col("_prev.v")}
@@ -164,7 +185,7 @@ def fill(df: DataFrame, keys: list[str], time_col: str, value_col: str, order: s
     return neighbours(df, keys, time_col, value_col, piece).withColumn(value_col, filled).drop("_prev", "_next")
 
 
-def interpolate(df: DataFrame, keys: list[str], time_col: str, value_col: str, piece: str = PIECE) -> DataFrame:
+def interpolate(df: DataFrame, keys: list[str], time_col: str, value_col: str, piece: str | int = PIECE) -> DataFrame:
     """Inner nulls replaced by the straight line between their neighbours in time."""
     span = seconds_between("_prev.t", "_next.t")
     done = seconds_between("_prev.t", time_col)

@@ -126,3 +126,14 @@ def test_ties_in_extremes_are_broken_by_the_kept_columns(frame):
     df = frame([("x", 1.0), ("y", 1.0), ("z", None)], "k string, v double")
     assert rollups.arg_extreme(df, "v", "max", keep=["k", "v"]).first().k == "y"
     assert rollups.arg_extreme(df, "v", "min", keep=["k", "v"]).first().k == "x"
+
+
+def test_trimming_does_not_collect_and_takes_a_window(frame):
+    start = dt.datetime(2026, 1, 1)
+    rows = [(start + dt.timedelta(hours=h), 10, 100.0 if h < 90 else 10.0) for h in range(100)]
+    rows[-1] = (rows[-1][0], 10, 1.0)
+    df = frame(rows, "t timestamp_ntz, c int, v double")
+    tail = ranking.incomplete_tail(df, "t", "c", "v")
+    assert "collect_list" not in tail._jdf.queryExecution().toString()
+    assert [tuple(r) for r in tail.collect()] == [(3, start + dt.timedelta(hours=97))]
+    assert [tuple(r) for r in ranking.incomplete_tail(df, "t", "c", "v", hours=9).collect()] == [(1, start + dt.timedelta(hours=99))]

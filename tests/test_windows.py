@@ -128,3 +128,28 @@ def test_score_sets_keep_the_total_on_empty_input(frame):
     assert rollups.score_grouping_sets(frame([], schema)).count() == 0
     rows = {r.ba_code: r for r in rollups.score_sets(frame([("a", 10.0, 9.0), ("a", 0.0, 1.0)], schema)).collect()}
     assert (rows["a"].pairs, rows["a"].mape_pct, rows["a"].rmse_mwh) == (2, 10.0, 1.0)
+
+
+@pytest.mark.parametrize("piece", ["1 day", 40])
+def test_any_piece_gives_the_plain_result(series, piece):
+    got = windows.rolling(series, ["ba_code"], "period_utc", "v", "sum", 24, 1, 0, "r", block_rows=60, piece=piece)
+    same(got, series.withColumn("r", F.sum("v").over(plain().rowsBetween(-23, 0))), ["r"])
+    got = windows.with_lags(series, ["ba_code"], "period_utc", "v", [3], block_rows=50, piece=piece)
+    same(got, series.withColumn("lag_3", F.lag("v", 3).over(plain())), ["lag_3"])
+    got = windows.fill(series, ["ba_code"], "period_utc", "v", "f", piece)
+    same(got, series.withColumn("v", F.last("v", True).over(plain().rowsBetween(W.unboundedPreceding, 0))), ["v"])
+
+
+def test_pieces_of_a_busy_key_are_bounded_by_rows(spark):
+    busy = spark.range(20_000).selectExpr("IF(id % 100 = 0, 'thin', 'busy') AS ba_code", "timestamp_ntz'2026-01-01' + make_dt_interval(0, 0, 0, id * 7) AS period_utc", "CAST(id AS DOUBLE) AS v")
+    sizes = windows.with_pieces(busy, ["ba_code"], "period_utc", 1000).groupBy("ba_code", "_piece").count().collect()
+    assert max(r["count"] for r in sizes) <= 1000 + 515 and sum(r["count"] for r in sizes) == 20_000
+    got = windows.number_rows(busy, ["ba_code"], "period_utc", "n", piece=1000)
+    same(got, busy.withColumn("n", F.row_number().over(plain())), ["n"])
+
+
+def test_lags_by_time_keep_all_columns(series):
+    named = series.withColumn("note", F.concat("ba_code", F.lit("!")))
+    by_time = windows.with_lags(named, ["ba_code"], "period_utc", "v", [24], "time")
+    assert by_time.columns == windows.with_lags(named, ["ba_code"], "period_utc", "v", [24]).columns
+    assert by_time.where("note = concat(ba_code, '!')").count() == named.count()
