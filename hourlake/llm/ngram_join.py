@@ -252,7 +252,8 @@ def _join(docs: DataFrame, key: str, text: str, n: int, threshold: float) -> tup
     sizes = found.groupBy("root").agg(chunks)
     wanted = found.join(sizes, "root").select("node", "root", "text_id", "chunks")
     same_row = (rows["node"] == wanted["node"]) & rows["_key"].eqNullSafe(wanted["text_id"])
-    texts = rows.join(wanted, same_row).select(rows["node"], "root", "chunks", "_text").dropDuplicates(["node"])
+    # candidates grow with the corpus, so the join is the same at every size
+    texts = rows.join(wanted.hint("merge"), same_row).select(rows["node"], "root", "chunks", "_text").dropDuplicates(["node"])
     texts = texts.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), "chunks").cast("int"))
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     units = texts.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "chunk", "_text")
