@@ -7,12 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hourlake.llm import bpe, chat, fingerprints, licenses, mixing, ngram_join, quality_rules, token_counts, toxicity, warc
+from hourlake.llm import bpe, chat, fingerprints, licenses, mixing, ngram_join, quality_rules, sql, token_counts, toxicity, warc
 from hourlake.llm.common import table
 from hourlake.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+#: Learned scores, Lempel-Ziv parses and the tokenizers' own merges are beyond SQL: tests compare those.
+ORACLES: dict[str, str] = {
+    "op1_license_scan": sql.licences(),
+    "op5_mixing": sql.MIXING,
+    "op6_chat_format": sql.CHAT,
+    "op7_warc": sql.WARC,
+    "op9_quality_rules": sql.QUALITY,
+    "op10_ngram_join": sql.NGRAMS,
+}
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 COUNTER = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,7 +33,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 
 @query
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents"))
+    return licenses.license_scan(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
 @query
@@ -69,7 +77,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
+    rows = quality_rules.quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
+    return rows.withColumn("host_rate", F.round("host_rate", 6))
 
 
 @query
