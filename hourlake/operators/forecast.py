@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from hourlake.functions.labels import severity
 from hourlake.functions.numbers import pct
 from hourlake.functions.times import anchor, interval_hours, seconds_between, time_literal
-from hourlake.operators.filters import only_key, trailing
+from hourlake.operators.filters import only_key, prune_dates, trailing
 from hourlake.operators.joins import forecast_timeline, pair_actuals
 from hourlake.operators.rollups import score_sets
 from hourlake.operators.windows import latest_vintage
@@ -52,12 +52,20 @@ def history(demand: DataFrame, as_of=None, days: int = HISTORY_DAYS) -> DataFram
     return trailing(demand, "period_utc", days * 24, as_of, max_hours=days * 24)
 
 
-def long_enough(demand: DataFrame, key: str = "ba_code", min_rows: int = MIN_ROWS) -> DataFrame:
-    """Keys with at least ``min_rows`` non-null rows, and their first and last hour."""
-    spans = demand.where(F.col("value_mwh").isNotNull()).groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min("period_utc").alias("first_utc"), F.max("period_utc").alias("last_utc")
+def grid_report(demand: DataFrame, key: str = "ba_code", min_rows: int = MIN_ROWS) -> DataFrame:
+    """What the grid makes of each key's rows: n_rows with a value, off_grid rows that lie between its hours
+    and are left out, repeated rows of an hour of which one counts, and whether the key is used at all.
+
+    Sum finer input to hours before the fit; a grid takes full hours from the key's first time on.
+    """
+    known = demand.where(F.col("value_mwh").isNotNull())
+    firsts = known.groupBy(key).agg(F.min("period_utc").alias("_first"))
+    hourly = known.groupBy(key, "period_utc").agg(F.count(F.lit(1)).alias("_n")).join(firsts, key)
+    off = seconds_between("_first", "period_utc") % 3600 != 0
+    out = hourly.groupBy(key).agg(
+        F.sum("_n").alias("n_rows"), F.sum(F.when(off, F.col("_n")).otherwise(0)).alias("off_grid"), F.sum(F.when(~off, F.col("_n") - 1).otherwise(0)).alias("repeated")
     )
-    return spans.where(F.col("n_rows") >= min_rows)
+    return out.withColumn("used", F.col("n_rows") >= min_rows)
 
 
 def regular_grid(demand: DataFrame, key: str = "ba_code", min_rows: int = MIN_ROWS, order_col: str | None = None) -> DataFrame:
@@ -89,13 +97,13 @@ def regular_grid(demand: DataFrame, key: str = "ba_code", min_rows: int = MIN_RO
 # --- anomaly scan -----------------------------------------------------------------------------
 
 
-def anomaly_scan(demand: DataFrame, as_of=None, key: str = "ba_code", score_hours: int = DAY) -> DataFrame:
+def anomaly_scan(demand: DataFrame, as_of=None, key: str = "ba_code", score_hours: int = DAY, order_col: str | None = None) -> DataFrame:
     """Scores of each key's last ``score_hours`` hours.
 
     Expected demand is the mean of the 168 hours before, shaped by the key's mean profile over the
     day. The residual is put against the rolling deviation of the residuals.
     """
-    grid = regular_grid(history(demand, as_of), key)
+    grid = regular_grid(history(demand, as_of), key, order_col=order_col)
     w = _by_key(key)
     hour = F.hour("period_utc")
     per_hour = W.partitionBy(key, "_hour")
@@ -219,12 +227,12 @@ def _ar1(grid: DataFrame, horizon: int, key: str) -> DataFrame:
     )
 
 
-def demand_forecast(demand: DataFrame, as_of=None, fit_at=None, horizon: int = 24, key: str = "ba_code") -> DataFrame:
+def demand_forecast(demand: DataFrame, as_of=None, fit_at=None, horizon: int = 24, key: str = "ba_code", order_col: str | None = None) -> DataFrame:
     """One forecast vintage: the fitted model where there is one, the seasonal pattern elsewhere.
 
     ``fit_at_utc`` is part of the key, so a later run adds rows and overwrites none.
     """
-    grid = regular_grid(history(demand, as_of), key)
+    grid = regular_grid(history(demand, as_of), key, order_col=order_col)
     model = _ar1(grid, horizon, key)
     fallback = _naive(grid, horizon, key).join(model.select(key).distinct(), key, "left_anti")
     stamp = anchor(demand, "period_utc", fit_at if fit_at is not None else as_of)
@@ -292,13 +300,20 @@ def forecast_accuracy(
     return score_sets(pairs, groups=sources)
 
 
+def _fresh(vintages: DataFrame, end: Column, fit_hours: int) -> DataFrame:
+    """Vintages of a recent fit. A vintage begins after the data it was fitted on, which is at most
+    the history window older than the fit, so the partitions of earlier periods are not opened."""
+    start = end - interval_hours(fit_hours)
+    return prune_dates(vintages, "period_utc", start - interval_hours(HISTORY_DAYS * 24)).where(F.col("fit_at_utc") > start)
+
+
 def forecast_view(
     demand: DataFrame, vintages: DataFrame, as_of=None, ba_code: str | None = None, actual_hours: int = 72, fit_hours: int = 6
 ) -> DataFrame:
     """Recent actuals and the latest vintage of a recent fit, merged on one timeline per key."""
     end = anchor(demand, "period_utc", as_of)
     actual = trailing(only_key(demand, "ba_code", ba_code), "period_utc", actual_hours, end)
-    fresh = only_key(vintages, "ba_code", ba_code).where(F.col("fit_at_utc") > end - interval_hours(fit_hours))
+    fresh = _fresh(only_key(vintages, "ba_code", ba_code), end, fit_hours)
     return forecast_timeline(actual, latest_vintage(fresh, ["ba_code", "period_utc"]))
 
 
@@ -306,7 +321,7 @@ def forecast_facts(demand: DataFrame, vintages: DataFrame, as_of=None, actual_ho
     """Per key the last actual, the first and the peak forecast, and the number of forecast hours."""
     end = anchor(demand, "period_utc", as_of)
     actual = trailing(demand, "period_utc", actual_hours, end).where(F.col("value_mwh").isNotNull())
-    fresh = vintages.where(F.col("fit_at_utc") > end - interval_hours(fit_hours))
+    fresh = _fresh(vintages, end, fit_hours)
     latest = latest_vintage(fresh, ["ba_code", "period_utc"]).where(F.col("yhat_mwh").isNotNull())
     left = actual.groupBy("ba_code").agg(
         F.max("period_utc").alias("last_actual_utc"), F.max_by("value_mwh", "period_utc").alias("last_actual_mwh")

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hourlake.functions.labels import strip_prefix, surrogate_key
 from hourlake.functions.numbers import pct
-from hourlake.operators.filters import trailing
+from hourlake.functions.times import anchor, interval_hours
+from hourlake.operators.filters import prune_dates, trailing
 
 
 def demand_with_forecast(demand: DataFrame, forecast: DataFrame) -> DataFrame:
@@ -31,7 +32,9 @@ def demand_vs_forecast_export(demand: DataFrame, forecast: DataFrame, as_of=None
     d = trailing(demand, "period_utc", hours, as_of, max_hours=hours).select(
         "period_utc", "ba_code", F.col("value_mwh").alias("demand_mwh")
     )
-    f = forecast.select("period_utc", "ba_code", F.col("value_mwh").alias("forecast_mwh"))
+    start = anchor(demand, "period_utc", as_of) - interval_hours(hours)
+    f = prune_dates(forecast, "period_utc", start).where(F.col("period_utc") > start)
+    f = f.select("period_utc", "ba_code", F.col("value_mwh").alias("forecast_mwh"))
     error = F.col("demand_mwh") - F.col("forecast_mwh")
     return d.join(f, ["period_utc", "ba_code"], "left").select(
         "period_utc",

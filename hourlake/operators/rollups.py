@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hourlake.functions.numbers import mape, pct, rmse
 from hourlake.functions.times import anchor, bucket_start, interval_hours
-from hourlake.operators.filters import trailing, trailing_latest
+from hourlake.operators.filters import prune_dates, trailing, trailing_latest
 from hourlake.operators.joins import scalar, share_of_group
 
 
@@ -76,7 +76,7 @@ def demand_change(demand: DataFrame, as_of=None) -> DataFrame:
     now = anchor(demand, "period_utc", as_of)
     t = F.col("period_utc")
     day_ago = now - interval_hours(24)
-    sums = demand.where((t == now) | (t == day_ago)).agg(
+    sums = prune_dates(demand, "period_utc", day_ago, now).where((t == now) | (t == day_ago)).agg(
         F.sum(F.when(t == now, F.col("value_mwh"))).alias("mwh_now"),
         F.sum(F.when(t == day_ago, F.col("value_mwh"))).alias("mwh_24h_ago"),
     )
@@ -134,19 +134,19 @@ def renewable_share_export(generation: DataFrame, fuels: DataFrame, as_of=None,
     return _with_share_pcts(hourly)
 
 
-def generation_mix(generation: DataFrame, hours: int = 24, ba_code: str | None = None) -> DataFrame:
-    """Sum per hour and fuel over the last ``hours`` available, of one key or of all."""
-    rows = trailing_latest(generation, "period_utc", hours, "ba_code", ba_code)
+def generation_mix(generation: DataFrame, hours: int = 24, ba_code: str | None = None, as_of=None) -> DataFrame:
+    """Sum per hour and fuel over the last ``hours`` available or before ``as_of``, of one key or of all."""
+    rows = trailing_latest(generation, "period_utc", hours, "ba_code", ba_code, as_of=as_of)
     return rows.groupBy("period_utc", "fuel_code").agg(F.sum("value_mwh").alias("value_mwh"))
 
 
-def generation_share(generation: DataFrame, fuels: DataFrame, hours: int = 24) -> DataFrame:
-    """Per-fuel sum over the last ``hours`` available and its share of the network total.
+def generation_share(generation: DataFrame, fuels: DataFrame, hours: int = 24, as_of=None) -> DataFrame:
+    """Per-fuel sum over the last ``hours`` available or before ``as_of`` and its share of the network total.
 
     Facts are summed per fuel first. The network total and the fuel names then meet a frame of a
     few rows. Flags of unlisted fuels stay null here.
     """
-    by_fuel = trailing_latest(generation, "period_utc", hours).groupBy("fuel_code").agg(F.sum("value_mwh").alias("mwh"))
+    by_fuel = trailing_latest(generation, "period_utc", hours, as_of=as_of).groupBy("fuel_code").agg(F.sum("value_mwh").alias("mwh"))
     total = F.nullif(scalar(by_fuel, F.sum("mwh")), F.lit(0.0))
     return (
         by_fuel.join(fuels, "fuel_code", "left")

@@ -17,10 +17,10 @@ def demand_bundle(demand: DataFrame, hours: int = 24, as_of=None) -> dict[str, D
     return {"series": network, "by_key": rollups.demand_by_key(rows), "key_series": per_key.select("period_utc", "ba_code", "value_mwh")}
 
 
-def generation_bundle(generation: DataFrame, fuels: DataFrame, hours: int = 24) -> dict[str, DataFrame]:
+def generation_bundle(generation: DataFrame, fuels: DataFrame, hours: int = 24, as_of=None) -> dict[str, DataFrame]:
     """Fuel bands, their shares, and the stacked series without its incomplete tail."""
-    share = rollups.generation_share(generation, fuels, hours)
-    mix = rollups.generation_mix(generation, hours)
+    share = rollups.generation_share(generation, fuels, hours, as_of)
+    mix = rollups.generation_mix(generation, hours, as_of=as_of)
     bands = ranking.fuel_bands(share)
     hourly = mix.where(F.col("value_mwh").isNotNull()).groupBy("period_utc").agg(
         F.count(F.lit(1)).alias("n_fuels"), F.sum("value_mwh").alias("mwh")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from hourlake.operators import filters, forecast, ranking, rollups
+from hourlake.plans import scoring
 from hourlake.queries.bindings import ctes
 from hourlake.queries.registry import query, rounded
+from hourlake.session import shared_dir
 
 GRID = {
     "hist": "SELECT ba_code, period_utc, value_mwh FROM demand, dnow WHERE period_utc > now - INTERVAL 336 HOUR",
@@ -293,3 +295,78 @@ def _(b):
 def _(b):
     rows = _scan(b).select("ba_code", "period_utc", F.abs("z_score").alias("size"))
     return rounded(ranking.top_k(rows, "size", 1, ["ba_code", "period_utc"]))
+
+
+# --- runs that store their result -------------------------------------------------------------
+
+
+def _with_odd_keys(b):
+    """Demand with a key of ten rows and one whose value never changes."""
+    few = b.demand.where("ba_code = 'click'").where(F.col("period_utc") > b.demand_now - F.expr("INTERVAL '10' HOUR")).withColumn("ba_code", F.lit("few"))
+    flat = b.demand.where("ba_code = 'view'").withColumns({"ba_code": F.lit("flat"), "value_mwh": F.lit(5.0)})
+    return b.demand.unionByName(few).unionByName(flat)
+
+
+@query(
+    "forecast_runs",
+    "FC4 FC2 FC3 SNK1",
+    ctes(
+        "demand dnow",
+        """SELECT run, model_name, CAST(keys AS BIGINT) AS keys, CAST(hours AS BIGINT) AS hours, fit_at_utc FROM (
+ SELECT run, 'seasonal-ar1-24h' AS model_name, count(DISTINCT ba_code) AS keys, count(DISTINCT ba_code) * 24 AS hours, now - to_hours(back) AS fit_at_utc
+ FROM demand, dnow, runs WHERE period_utc <= now - to_hours(back) GROUP BY ALL
+ UNION ALL SELECT run, 'seasonal-naive-24h', 1, 24, now - to_hours(back) FROM dnow, runs
+ UNION ALL SELECT run, 'none', 1, 0, NULL FROM runs WHERE back = 0)""",
+        runs="SELECT * FROM (VALUES (1, 24), (2, 0)) AS v(run, back)",
+    ),
+)
+def _(b):
+    """Two vintages, each stored twice. The key of ten rows gets no forecast, the constant one the seasonal pattern."""
+    path, demand, reports = shared_dir(b.spark, "vintages"), _with_odd_keys(b), []
+    for run, back in ((1, 24), (2, 0)):
+        end = b.demand_now - F.make_dt_interval(hours=F.lit(back))
+        seen = demand.where(F.col("period_utc") <= end)
+        for _ in range(2):
+            report = scoring.store_forecast(seen, path, end)
+        reports.append(report.select(F.lit(run).alias("run"), "model_name", "keys"))
+    stored = b.spark.read.parquet(path).groupBy("model_name", "fit_at_utc").agg(F.count(F.lit(1)).alias("hours"))
+    place = F.dense_rank().over(Window.orderBy("fit_at_utc"))  # two runs
+    stored = stored.withColumn("run", place)
+    out = reports[0].unionByName(reports[1]).join(stored, ["run", "model_name"], "left")
+    return out.withColumn("hours", F.coalesce("hours", F.lit(0)))
+
+
+@query(
+    "anomaly_runs",
+    "FC5 SNK1",
+    ctes(
+        "demand dnow",
+        """SELECT ba_code, detected_at, count(*) AS n FROM (SELECT ba_code, h, max(detected_at) AS detected_at FROM (
+ SELECT ba_code, unnest(range(24)) AS i, last - to_hours(CAST(i AS INTEGER)) AS h, detected_at FROM ends) GROUP BY 1, 2) GROUP BY 1, 2""",
+        ends="""SELECT ba_code, max(period_utc) AS last, now - to_hours(back) AS detected_at FROM demand, dnow, (VALUES (12), (0)) AS v(back)
+ WHERE period_utc <= now - to_hours(back) GROUP BY 1, now, back""",
+    ),
+)
+def _(b):
+    """Two runs twelve hours apart, the second one repeated: an hour has the scores of the run that saw it last."""
+    path = shared_dir(b.spark, "anomalies")
+    for back in (12, 0, 0):
+        end = b.demand_now - F.make_dt_interval(hours=F.lit(back))
+        scoring.store_anomalies(b.demand.where(F.col("period_utc") <= end), path, end)
+    return b.spark.read.parquet(path).groupBy("ba_code", "detected_at").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "mix_shift_runs",
+    "FC8 SNK1",
+    ctes(
+        "generation snow",
+        """SELECT detected_at_utc, count(*) AS n FROM (SELECT DISTINCT now - to_hours(back) AS detected_at_utc, ba_code, fuel_code
+ FROM generation, snow, (VALUES (240), (0)) AS v(back) WHERE period_utc > now - to_hours(back + 360) AND period_utc <= now - to_hours(back)) GROUP BY 1""",
+    ),
+)
+def _(b):
+    path = shared_dir(b.spark, "shifts")
+    for back in (240, 0, 0):
+        scoring.store_mix_shift(b.generation, path, b.shipped_now - F.make_dt_interval(hours=F.lit(back)))
+    return b.spark.read.parquet(path).groupBy("detected_at_utc").agg(F.count(F.lit(1)).alias("n"))

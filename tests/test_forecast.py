@@ -101,3 +101,13 @@ def test_custom_forecaster_runs_per_key(demand):
 
     out = forecast.forecast_with(demand, constant, horizon=3).toPandas()
     assert sorted(out.ba_code.unique()) == ["edge", "flat", "wave"] and len(out) == 9
+
+
+def test_last_row_of_an_hour_counts_and_off_grid_rows_are_reported(frame):
+    rows = [("a", dt.datetime(2026, 1, 1) + dt.timedelta(minutes=15 * i), float(i), 1) for i in range(400)]
+    rows += [("a", dt.datetime(2026, 1, 1), 99.0, 0), ("b", dt.datetime(2026, 1, 1), 1.0, 0)]
+    df = frame(rows, "ba_code string, period_utc timestamp_ntz, value_mwh double, seen int")
+    first = lambda **k: forecast.regular_grid(df, **k).orderBy("period_utc").first().value_mwh
+    assert first() == 99.0 and first(order_col="seen") == 0.0
+    report = {r.ba_code: (r.n_rows, r.off_grid, r.repeated, r.used) for r in forecast.grid_report(df).collect()}
+    assert report == {"a": (401, 300, 1, True), "b": (1, 0, 0, False)}
