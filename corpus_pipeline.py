@@ -32,7 +32,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, their number, and digests of the ids and of what they decode to."""
-    return bpe.digests(bpe.encode(docs, RANKS, PATTERN), RANKS, keep_ids=True)
+    return bpe.digests(docs, RANKS, PATTERN, keep_ids=True)
 
 
 STAGES = [("quality_rules", good), ("toxicity", civil), ("ngram_join", distinct), ("mixing", mixed), ("bpe", encoded)]

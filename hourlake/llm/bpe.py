@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import heapq
 import os
 
@@ -12,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from hourlake.llm.common import map_texts, texts_of
 from hourlake.llm.segments import segments
@@ -21,7 +22,7 @@ from hourlake.llm.segments import segments
 LONGEST = 255
 #: Bytes of distinct words in one query, tokens decoded in one query, pieces remembered by a worker.
 WORD_BYTES, DECODED, REMEMBERED = 192 << 10, 400_000, 150_000
-#: Bytes of texts or ids handled at once: encoding and decoding are two Python workers of each running task.
+#: Bytes of texts or ids handled at once.
 SLICE_BYTES = 2 << 20
 
 CONTRACT = """
@@ -146,6 +147,38 @@ class Encoder:
         return [b"".join(map(known, pieces)) for pieces in cut]
 
 
+class Decoder:
+    """Bytes of lists of ids; one per task."""
+
+    def __init__(self, path: str):
+        ranks = load_ranks(path)
+        self.known = np.fromiter(ranks.values(), np.int64)
+        self.con = _connect()
+        self.con.register("rows", pa.table({"id": self.known, "bytes": [t.decode("latin-1") for t in ranks]}))
+        self.con.execute("CREATE TABLE vocabulary AS SELECT id, bytes FROM rows")
+
+    def decode(self, joined: list[bytes]) -> list[bytes]:
+        """Bytes of each row's ids; a long row is decoded in parts."""
+        lists = [np.frombuffer(x, "<u4") for x in joined]
+        out: list[list[str]] = [[] for _ in lists]
+        rest = [(i, x[a : a + DECODED]) for i, x in enumerate(lists) for a in range(0, len(x), DECODED)]
+        first = 0
+        while first < len(rest):
+            stop, size = first, 0
+            while stop < len(rest) and (stop == first or size + len(rest[stop][1]) <= DECODED):
+                size += len(rest[stop][1])
+                stop += 1
+            now, first = rest[first:stop], stop
+            flat = np.concatenate([x for _, x in now]).astype(np.int64)
+            if not np.isin(flat, self.known, kind="table").all():
+                raise ValueError("an id is not in the rank file")
+            doc = np.repeat(np.arange(len(now)), [len(x) for _, x in now])
+            self.con.register("tokens", pa.table({"doc": doc, "pos": np.arange(len(flat)), "id": flat}))
+            for n, text in self.con.execute(DECODE).fetchall():
+                out[now[n][0]].append(text)
+        return ["".join(parts).encode("latin-1") for parts in out]
+
+
 @functools.lru_cache(maxsize=1)
 def _encoder(path: str, pattern: str) -> Encoder:
     """One per Python worker, which keeps its pieces from task to task."""
@@ -184,35 +217,11 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     at = names[encoded.columns.index(ids)]
 
     def make():
-        con = _connect()
-        ranks = load_ranks(path)
-        known = np.fromiter(ranks.values(), np.int64)
-        con.register("rows", pa.table({"id": known, "bytes": [t.decode("latin-1") for t in ranks]}))
-        con.execute("CREATE TABLE vocabulary AS SELECT id, bytes FROM rows")
-
-        def some(lists: list[np.ndarray]) -> dict[int, list[str]]:
-            """Bytes of each list, as characters; a long list is decoded in parts."""
-            out: dict[int, list[str]] = {i: [] for i in range(len(lists))}
-            rest = [(i, x[a : a + DECODED]) for i, x in enumerate(lists) for a in range(0, len(x), DECODED)]
-            while rest:
-                n, size = 0, 0
-                while n < len(rest) and (not n or size + len(rest[n][1]) <= DECODED):
-                    size += len(rest[n][1])
-                    n += 1
-                now, rest = rest[:n], rest[n:]
-                lengths = [len(x) for _, x in now]
-                flat = np.concatenate([x for _, x in now]).astype(np.int64)
-                if not np.isin(flat, known, kind="table").all():
-                    raise ValueError("an id is not in the rank file")
-                con.register("tokens", pa.table({"doc": np.repeat(np.arange(n), lengths), "pos": np.arange(len(flat)), "id": flat}))
-                for doc, text in con.execute(DECODE).fetchall():
-                    out[now[doc][0]].append(text)
-            return out
+        decoder = Decoder(path)
 
         def step(part: pa.RecordBatch) -> dict:
-            lists = [np.frombuffer(x or b"", "<u4") for x in part.column(at).to_pylist()]
-            found = some(lists)
-            return {n: part.column(n) for n in names} | {"decoded": pa.array(["".join(found[i]).encode("latin-1") for i in range(len(lists))], pa.binary())}
+            rows = [x or b"" for x in part.column(at).to_pylist()]
+            return {n: part.column(n) for n in names} | {"decoded": pa.array(decoder.decode(rows), pa.binary())}
 
         return step
 
@@ -220,7 +229,24 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return map_texts(encoded.toDF(*names), make, schema, at, SLICE_BYTES).toDF(*encoded.columns, "decoded")
 
 
-def digests(encoded: DataFrame, path: str, key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
-    """``key``, n_tokens, the ids if wanted, and the sha-256 of each row's ids and of what they decode to."""
-    both = decode(encoded.select(key, "n_tokens", "ids"), path)
-    return both.select(key, "n_tokens", *["ids"] * keep_ids, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """``key``, n_tokens, the ids if wanted, and the sha-256 of each row's ids and of what they decode to.
+
+    What ``encode`` and then ``decode`` give, by one worker of each running task instead of two.
+    """
+
+    def make():
+        encoder, decoder = _encoder(path, pattern), Decoder(path)
+
+        def step(part: pa.RecordBatch) -> dict:
+            ids = encoder.encode(texts_of(part, text))
+            out = {key: part.column(key), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
+            out |= {"ids": pa.array(ids, pa.binary())} if keep_ids else {}
+            hashes = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in (ids, decoder.decode(ids))]
+            return out | {n: pa.array(h, pa.string()) for n, h in zip(("ids_sha256", "decoded_sha256"), hashes, strict=True)}
+
+        return step
+
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, n_tokens bigint, {'ids binary, ' * keep_ids}ids_sha256 string, decoded_sha256 string"
+    return map_texts(docs.select(key, text), make, schema, text, SLICE_BYTES)

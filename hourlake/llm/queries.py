@@ -44,8 +44,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN)
-    return bpe.digests(ids, RANKS)
+    return bpe.digests(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
 @query

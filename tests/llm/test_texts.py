@@ -28,7 +28,7 @@ def tiktoken_encoding():
 
 def same_bpe(df, texts):
     enc = tiktoken_encoding()
-    rows = bpe.digests(bpe.encode(df, RANKS, PATTERN), RANKS).collect()
+    rows = bpe.digests(df, RANKS, PATTERN).collect()
     for r in rows:
         t = texts[r["doc_id"]] or ""
         ids = enc.encode_ordinary(t)
@@ -46,7 +46,15 @@ def test_bpe_is_the_library_s(spark, sf_dir):
 def test_bpe_odd_texts(odd):
     texts = {r["doc_id"]: r["text"] for r in odd.collect()}
     assert len(same_bpe(odd, texts)) == odd.count()
-    assert bpe.digests(bpe.encode(odd.limit(0), RANKS, PATTERN), RANKS).count() == 0
+    assert bpe.digests(odd.limit(0), RANKS, PATTERN).count() == 0
+
+
+def test_bpe_encode_and_decode_as_two_steps(odd):
+    back = bpe.decode(bpe.encode(odd, RANKS, PATTERN), RANKS)
+    assert back.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    want = Counter((r["doc_id"], (r["text"] or "").encode()) for r in odd.collect())
+    assert Counter((r["doc_id"], bytes(r["decoded"])) for r in back.collect()) == want
+    assert bpe.decode(bpe.encode(odd.limit(0), RANKS, PATTERN), RANKS).count() == 0
 
 
 def test_bpe_long_words_are_contracted_alike():
