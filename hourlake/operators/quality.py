@@ -32,12 +32,12 @@ def staleness(freshness: DataFrame, sla: DataFrame, as_of=None) -> DataFrame:
     period_h = F.when(F.col("_listed"), F.col("period_sla_h")).otherwise(F.lit(period_default).cast("double"))
     since_fetch = F.col("sec_since_fetch") / 3600
     since_period = F.col("sec_since_period") / 3600
-    fetch_reason = F.when(since_fetch.isNull(), "never fetched").when(
+    fetch_reason = F.when(since_fetch.isNull(), ref.NEVER_FETCHED).when(
         since_fetch > fetch_h,
-        F.format_string("no successful fetch in %.1fh (SLA %.0fh)", since_fetch, F.bround(fetch_h)),
+        F.format_string(ref.FETCH_TOO_OLD, since_fetch, F.bround(fetch_h)),
     )
     period_reason = F.when(
-        since_period > period_h, F.format_string("data %.1fh old (SLA %.0fh)", since_period, F.bround(period_h))
+        since_period > period_h, F.format_string(ref.DATA_TOO_OLD, since_period, F.bround(period_h))
     )
     reason = F.nullif(F.concat_ws("; ", fetch_reason, period_reason), F.lit(""))
     return (
@@ -79,7 +79,7 @@ def check_freshness(freshness: DataFrame, sla: DataFrame, as_of=None) -> DataFra
         F.count(F.lit(1)).alias("sources"), F.count_if("is_stale").alias("stale")
     ).withColumn("fresh", F.col("sources") - F.col("stale"))
     status = F.when(F.col("stale") == 0, "pass").when(F.col("stale") == F.col("sources"), "fail").otherwise("warn")
-    text = F.format_string("%d of %d sources fresh", "fresh", "sources")
+    text = F.format_string(ref.FRESH_SOURCES, "fresh", "sources")
     return _check("freshness", counted, status, text, "sources", "fresh", "stale")
 
 
@@ -91,7 +91,7 @@ def check_plausibility(demand: DataFrame, as_of=None, hours: int = 24, fail_shar
     bad = F.col("nulls") + F.col("non_positive")
     share = F.coalesce(F.try_divide(bad, "observations"), F.lit(0.0))
     status = F.when(share > fail_share, "fail").when(bad > 0, "warn").otherwise("pass")
-    text = F.format_string("%d demand observations, %d null, %d non-positive", "observations", "nulls", "non_positive")
+    text = F.format_string(ref.DEMAND_COUNTS, "observations", "nulls", "non_positive")
     return _check("demand_plausibility", counts, status, text, "observations", "nulls", "non_positive", "bas")
 
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hourlake import reference_data as ref
 from hourlake.functions.numbers import mape, pct, rmse
 from hourlake.functions.times import anchor, bucket_start, interval_hours
 from hourlake.operators.filters import prune_dates, trailing, trailing_latest
@@ -364,9 +365,9 @@ def status_rollup(details: DataFrame) -> DataFrame:
     counts = details.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") != "pass").alias("flagged"))
     n, flagged = F.col("n"), F.col("flagged")
     text = (
-        F.when(n == 0, "awaiting settled data (feeds still backfilling)")
-        .when(flagged == 0, F.format_string("all %d BAs reconcile", n))
-        .otherwise(F.format_string("%d of %d BAs reconcile; %d flagged", n - flagged, n, flagged))
+        F.when(n == 0, ref.NOTHING_SETTLED)
+        .when(flagged == 0, F.format_string(ref.ALL_RECONCILE, n))
+        .otherwise(F.format_string(ref.SOME_RECONCILE, n - flagged, n, flagged))
     )
     return counts.select(F.when((n == 0) | (flagged == 0), "pass").otherwise("warn").alias("status"), text.alias("value"), "n", "flagged")
 

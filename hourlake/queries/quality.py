@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hourlake import reference_data as ref
 from hourlake.operators import filters, quality, ranking, rollups
 from hourlake.queries.bases import fct_demand, FCT_DEMAND
 from hourlake.queries.bindings import ctes
@@ -15,9 +16,9 @@ STALE = {
     "aged": """SELECT f.source, date_diff('second', last_fetch_utc, now) / 3600.0 AS fh, date_diff('second', last_period_utc, now) / 3600.0 AS ph,
  CASE WHEN s.source IS NULL THEN 3.0 ELSE fetch_sla_h END AS fs, s.period_sla_h AS ps
  FROM freshness f LEFT JOIN sla s ON s.source = f.source, onow""",
-    "reasons": """SELECT source, CASE WHEN fh IS NULL THEN 'never fetched' WHEN fh > fs
- THEN printf('no successful fetch in %.1fh (SLA %.0fh)', CAST(fh AS DOUBLE), CAST(fs AS DOUBLE)) END AS r1,
- CASE WHEN ph > ps THEN printf('data %.1fh old (SLA %.0fh)', CAST(ph AS DOUBLE), CAST(ps AS DOUBLE)) END AS r2 FROM aged""",
+    "reasons": f"""SELECT source, CASE WHEN fh IS NULL THEN '{ref.NEVER_FETCHED}' WHEN fh > fs
+ THEN printf('{ref.FETCH_TOO_OLD}', CAST(fh AS DOUBLE), CAST(fs AS DOUBLE)) END AS r1,
+ CASE WHEN ph > ps THEN printf('{ref.DATA_TOO_OLD}', CAST(ph AS DOUBLE), CAST(ps AS DOUBLE)) END AS r2 FROM aged""",
     "stale": "SELECT source, r1 IS NOT NULL OR r2 IS NOT NULL AS is_stale, nullif(concat_ws('; ', r1, r2), '') AS stale_reason FROM reasons",
 }
 
@@ -27,8 +28,8 @@ def _(b):
     return quality.staleness(b.freshness, b.sla, b.ops_now).select("source", "is_stale", "stale_reason")
 
 
-FRESH_CHECK = """SELECT 'freshness' AS name, CASE WHEN stale = 0 THEN 'pass' WHEN stale = sources THEN 'fail' ELSE 'warn' END AS status,
- printf('%d of %d sources fresh', sources - stale, sources) AS value, sources, sources - stale AS fresh, stale
+FRESH_CHECK = f"""SELECT 'freshness' AS name, CASE WHEN stale = 0 THEN 'pass' WHEN stale = sources THEN 'fail' ELSE 'warn' END AS status,
+ printf('{ref.FRESH_SOURCES}', sources - stale, sources) AS value, sources, sources - stale AS fresh, stale
  FROM (SELECT count(*) AS sources, count(*) FILTER (WHERE is_stale) AS stale FROM stale)"""
 
 
@@ -37,8 +38,8 @@ def _(b):
     return quality.check_freshness(b.freshness, b.sla, b.ops_now)
 
 
-PLAUSIBLE = """SELECT 'demand_plausibility' AS name, CASE WHEN (nulls + np) / obs > 0.02 THEN 'fail' WHEN nulls + np > 0 THEN 'warn' ELSE 'pass' END AS status,
- printf('%d demand observations, %d null, %d non-positive', obs, nulls, np) AS value, obs AS observations, nulls, np AS non_positive, bas
+PLAUSIBLE = f"""SELECT 'demand_plausibility' AS name, CASE WHEN (nulls + np) / obs > 0.02 THEN 'fail' WHEN nulls + np > 0 THEN 'warn' ELSE 'pass' END AS status,
+ printf('{ref.DEMAND_COUNTS}', obs, nulls, np) AS value, obs AS observations, nulls, np AS non_positive, bas
  FROM (SELECT count(*) AS obs, count(*) FILTER (WHERE v IS NULL) AS nulls, count(*) FILTER (WHERE v <= 0) AS np, count(DISTINCT ba_code) AS bas
  FROM (SELECT ba_code, CASE WHEN value_mwh < 20 THEN NULL ELSE value_mwh - 21 END AS v FROM demand, dnow WHERE period_utc > now - INTERVAL 24 HOUR))"""
 
@@ -89,8 +90,8 @@ def _(b):
 
 def _rollup_check(name: str, details: str) -> str:
     return f"""SELECT '{name}' AS name, CASE WHEN flagged > 0 THEN 'warn' ELSE 'pass' END AS status,
- CASE WHEN n = 0 THEN 'awaiting settled data (feeds still backfilling)' WHEN flagged = 0 THEN printf('all %d BAs reconcile', n)
- ELSE printf('%d of %d BAs reconcile; %d flagged', n - flagged, n, flagged) END AS value
+ CASE WHEN n = 0 THEN '{ref.NOTHING_SETTLED}' WHEN flagged = 0 THEN printf('{ref.ALL_RECONCILE}', n)
+ ELSE printf('{ref.SOME_RECONCILE}', n - flagged, n, flagged) END AS value
  FROM (SELECT count(*) AS n, count(*) FILTER (WHERE status <> 'pass') AS flagged FROM {details})"""
 
 
@@ -117,7 +118,7 @@ VALIDATION = {
     "bal": BALANCE,
     "fuel": FUELS,
     "c1": FRESH_CHECK,
-    "c2": """SELECT 'demand_plausibility' AS name, 'pass' AS status, printf('%d demand observations, 0 null, 0 non-positive', obs) AS value, obs AS observations, bas
+    "c2": f"""SELECT 'demand_plausibility' AS name, 'pass' AS status, printf('{ref.DEMAND_COUNTS}', obs, 0, 0) AS value, obs AS observations, bas
  FROM (SELECT count(*) AS obs, count(DISTINCT ba_code) AS bas FROM demand_long, snow WHERE series = 'D' AND period_utc > now - INTERVAL 24 HOUR)""",
     "c3": _rollup_check("energy_balance", "bal"),
     "c4": _rollup_check("fuel_shares", "fuel"),

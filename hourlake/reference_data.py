@@ -1,4 +1,4 @@
-"""Code tables published by the data providers and the service levels per source."""
+"""Code tables of the data providers, regions, coordinates and limits, and report texts."""
 
 from __future__ import annotations
 
@@ -170,4 +170,14 @@ SOURCE_SLA_HOURS = [
 ]
 DEFAULT_SLA_HOURS = (3.0, None)
 
+# Texts of the report that its readers match.
+NEVER_FETCHED = "never fetched"
+FETCH_TOO_OLD = "no successful fetch in %.1fh (SLA %.0fh)"
+DATA_TOO_OLD = "data %.1fh old (SLA %.0fh)"
+FRESH_SOURCES = "%d of %d sources fresh"
+DEMAND_COUNTS = "%d demand observations, %d null, %d non-positive"
+NOTHING_SETTLED = "awaiting settled data (feeds still backfilling)"
+ALL_RECONCILE = "all %d BAs reconcile"
+SOME_RECONCILE = "%d of %d BAs reconcile; %d flagged"
+
 # --- end of fixed values ----------------------------------------------------------------------

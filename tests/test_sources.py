@@ -70,6 +70,8 @@ def test_reference_tables(spark, frame):
     assert "" not in seeded
     names = {r.zone_eic: r.zone_name for r in tables.europe_zones(spark).collect()}
     assert len(names) == 20 and all(names.values())
+    for coded in (tables.production_types(spark), tables.wmo_codes(spark)):
+        assert coded.count() == coded.select(coded.columns[0]).distinct().count() > 0
 
 
 def test_catchup_start_is_bounded(spark, frame):
