@@ -3,7 +3,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from hourlake.queries import COVERS
+from hourlake.queries import COVERS, ORACLES, QUERIES
 from tests.compare import differences, oracle
 
 QUICK = [
@@ -14,7 +14,8 @@ QUICK = [
 
 
 def test_every_query_names_what_it_covers():
-    assert set(COVERS) == set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(COVERS) == set(QUERIES) and set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     ids = {i for covered in COVERS.values() for i in covered}
     groups = {"SRC": 13, "NRM": 14, "SNK": 12, "PRJ": 14, "JON": 10, "AGG": 28, "WIN": 13, "TOP": 9, "SET": 4, "FC": 8, "DQ": 11, "STR": 7}
     wanted = {f"{g}{i}" for g, n in groups.items() for i in range(1, n + 1)}
