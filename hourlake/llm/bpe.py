@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import hashlib
 import heapq
 import os
@@ -18,37 +19,41 @@ from pyspark.sql import DataFrame
 from hourlake.llm.common import map_texts, texts_of
 from hourlake.llm.segments import segments
 
-#: Words of up to so many bytes go through the recursive query, which takes a step per contraction.
-LONGEST = 255
-#: Bytes of distinct words in one query, tokens decoded in one query, pieces remembered by a worker.
-WORD_BYTES, DECODED, REMEMBERED = 192 << 10, 400_000, 150_000
+#: Words of up to so many bytes, after the cuts that no token crosses, go through the recursive query.
+LONGEST = 2047
+#: Words longer than this are cut first.
+CUT_FROM = 32
+#: Bytes of distinct words in one query; rows of all its steps; tokens decoded in one query; pieces remembered by a worker.
+WORD_BYTES, QUERY_ROWS, DECODED, REMEMBERED = 192 << 10, 2_500_000, 400_000, 500_000
 #: Bytes of texts or ids handled at once.
 SLICE_BYTES = 2 << 20
 
+#: Each step contracts the best pair of every word that has one and looks up only the two pairs beside it;
+#: a word without such a pair takes no further step.
 CONTRACT = """
 WITH RECURSIVE s AS (
-    SELECT w, pos, l, r, id, 0 AS step FROM pairs LEFT JOIN merges USING (l, r)
+    SELECT w, pos, l, r, id, 0::INTEGER AS step FROM pairs LEFT JOIN merges ON k = (l::BIGINT << 32) + r
     UNION ALL
-    SELECT x.w, x.pos, x.l, x.r, m.id, x.step
+    SELECT x.w, x.pos, x.l, x.r, CASE WHEN x.k IS NULL THEN x.id ELSE m.id END, x.step
     FROM (
-        SELECT s.w, s.step + 1 AS step, CASE WHEN s.pos > b.best & 255 THEN s.pos - 1 ELSE s.pos END AS pos,
-            CASE WHEN s.pos = (b.best & 255) + 1 THEN b.best >> 8 ELSE s.l END AS l,
-            CASE WHEN s.pos = (b.best & 255) - 1 THEN b.best >> 8 ELSE s.r END AS r
-        FROM s JOIN (SELECT w, min((id << 8) + pos) AS best FROM s WHERE id IS NOT NULL GROUP BY w) b USING (w)
-        WHERE s.pos <> b.best & 255
-    ) x LEFT JOIN merges m ON m.l = x.l AND m.r = x.r
+        SELECT w, step, pos, id, l, r, CASE WHEN beside THEN (l::BIGINT << 32) + r END AS k
+        FROM (
+            SELECT s.w, s.step + 1::INTEGER AS step, s.id, s.pos - (s.pos > b.best & 2047)::INTEGER AS pos,
+                CASE WHEN s.pos = (b.best & 2047) + 1 THEN (b.best >> 11)::INTEGER ELSE s.l END AS l,
+                CASE WHEN s.pos = (b.best & 2047) - 1 THEN (b.best >> 11)::INTEGER ELSE s.r END AS r,
+                abs(s.pos - (b.best & 2047)) = 1 AS beside
+            FROM s JOIN (SELECT w, min((id::BIGINT << 11) + pos) AS best FROM s WHERE id IS NOT NULL GROUP BY w) b USING (w)
+            WHERE s.pos <> b.best & 2047
+        )
+    ) x LEFT JOIN merges m ON m.k = x.k
 )
-SELECT s.w, s.l, s.r
+SELECT s.w, coalesce(s.id, s.l) AS l, CASE WHEN s.id IS NULL THEN s.r ELSE -1 END AS r
 FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) f USING (w, step)
 ORDER BY s.w, s.pos
 """
 
-#: The tokens' bytes as characters of the same numbers. One thread aggregates in the order of its input.
-DECODE = """
-SELECT doc, string_agg(bytes, '') AS bytes
-FROM (SELECT doc, pos, bytes FROM tokens JOIN vocabulary USING (id) ORDER BY pos)
-GROUP BY doc
-"""
+#: The tokens' bytes as characters of the same numbers.
+DECODE = "SELECT doc, string_agg(bytes, '' ORDER BY pos) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
 
 
 @functools.lru_cache(maxsize=2)
@@ -92,63 +97,90 @@ def contract_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Ids of pieces, as little-endian 32-bit numbers; one per task."""
+    """Ids of pieces, as little-endian 32-bit numbers; one per worker."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pattern = load_ranks(path), regex.compile(pattern)
-        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        inside = np.frombuffer(b"".join(t[i : i + 2] for t in self.ranks for i in range(len(t) - 1)), np.uint8)
+        self.joined = np.zeros(1 << 16, bool)
+        self.joined[inside[::2].astype(np.int64) << 8 | inside[1::2]] = True
         self.con = _connect()
         self.con.register("merge_rows", merge_table(path))
-        self.con.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
+        self.con.execute("CREATE TABLE merges AS SELECT (l << 32) + r AS k, id::INTEGER AS id FROM merge_rows")
         self.pieces: dict[str, bytes] = {}
 
-    def _words(self, words: set[bytes]) -> dict[bytes, bytes]:
+    def _parts(self, word: bytes) -> list[bytes]:
+        """A long word between such neighbouring bytes as no token holds: no contraction crosses them."""
+        if len(word) <= CUT_FROM:
+            return [word]
+        x = np.frombuffer(word, np.uint8).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(~self.joined[x[:-1] << 8 | x[1:]]) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _words(self, words: set[str]) -> dict[str, bytes]:
         """Words that are tokens are looked up, the others contracted together."""
-        out, batch, size = {}, [], 0
+        out, parts = {}, {}
         for w in words:
-            if (n := self.ranks.get(w)) is not None:
+            b = w.encode()
+            if (n := self.ranks.get(b)) is not None:
                 out[w] = n.to_bytes(4, "little")
-            elif len(w) > LONGEST:
-                out[w] = np.array(contract_long(w, self.ranks), "<u4").tobytes()
             else:
-                batch.append(w)
-                size += len(w)
-                if size >= WORD_BYTES:
-                    out |= self._contract(batch)
-                    batch, size = [], 0
-        return out | self._contract(batch) if batch else out
+                parts[w] = self._parts(b)
+        ids, batch, size, rows = {}, [], 0, 0
+        for p in {p for ps in parts.values() for p in ps}:
+            if len(p) == 1:
+                ids[p] = int(self.single[p[0]]).to_bytes(4, "little")
+            elif len(p) > LONGEST:
+                ids[p] = np.array(contract_long(p, self.ranks), "<u4").tobytes()
+            else:
+                batch.append(p)
+                size, rows = size + len(p), rows + len(p) * len(p) // 2
+                if size >= WORD_BYTES or rows >= QUERY_ROWS:
+                    ids |= self._contract(batch)
+                    batch, size, rows = [], 0, 0
+        ids |= self._contract(batch) if batch else {}
+        for w, ps in parts.items():
+            out[w] = ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
+        return out
 
     def _contract(self, words: list[bytes]) -> dict[bytes, bytes]:
         lengths = np.array([len(w) for w in words])
         ids = self.single[np.frombuffer(b"".join(words), np.uint8)]
-        w = np.repeat(np.arange(len(words)), lengths)
-        pos = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        w = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        pos = (np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
         inner = np.flatnonzero(w[1:] == w[:-1])
         self.con.register("pairs", pa.table({"w": w[inner], "pos": pos[inner], "l": ids[inner], "r": ids[inner + 1]}))
         found = self.con.execute(CONTRACT).fetchnumpy()
-        # Each word is the left sides of its pairs and the right side of the last one.
+        # Each word is the left sides of its pairs and the right side of the last one. A last pair that still
+        # had an id became that token, and nothing stands to its right.
         at = np.searchsorted(found["w"], np.arange(len(words) + 1))
-        flat = np.insert(found["l"], at[1:], found["r"][at[1:] - 1]).astype("<u4").tobytes()
-        ends = (4 * (at[1:] + np.arange(1, len(words) + 1))).tolist()
-        return {x: flat[a:b] for x, a, b in zip(words, [0, *ends], ends, strict=False)}
+        flat = np.insert(found["l"], at[1:], found["r"][at[1:] - 1])
+        ends = (4 * np.cumsum(flat >= 0)[at[1:] + np.arange(len(words))]).tolist()
+        joined = flat[flat >= 0].astype("<u4").tobytes()
+        return {x: joined[a:b] for x, a, b in zip(words, [0, *ends], ends, strict=False)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [segments(t) for t in texts]
-        used = {p for pieces in cut for p in pieces}
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = {p: self.pieces[p] for p in used & self.pieces.keys()}
-        words, findall = {}, self.pattern.findall
-        for p in used - self.pieces.keys():
-            words[p] = [w.encode() for w in findall(p)]
-        ids = self._words({w for ws in words.values() for w in ws})
-        for p, ws in words.items():
-            self.pieces[p] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
-        known = self.pieces.__getitem__
-        return [b"".join(map(known, pieces)) for pieces in cut]
+        gc.disable()  # hundreds of thousands of small strings are remembered: none of them is garbage
+        try:
+            cut = [segments(t) for t in texts]
+            used = set().union(*cut)
+            if len(self.pieces) > REMEMBERED:
+                self.pieces = {p: self.pieces[p] for p in used & self.pieces.keys()}
+            findall = self.pattern.findall
+            words = {p: findall(p) for p in used - self.pieces.keys()}
+            self.pieces |= self._words({w for ws in words.values() for w in ws} - self.pieces.keys())
+            known = self.pieces.__getitem__
+            for p, ws in words.items():
+                if len(ws) > 1:
+                    self.pieces[p] = b"".join(map(known, ws))
+            return [b"".join(map(known, pieces)) for pieces in cut]
+        finally:
+            gc.enable()
 
 
 class Decoder:
-    """Bytes of lists of ids; one per task."""
+    """Bytes of lists of ids; one per worker."""
 
     def __init__(self, path: str):
         ranks = load_ranks(path)
@@ -185,6 +217,11 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+@functools.lru_cache(maxsize=1)
+def _decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_tokens and ids (32-bit little-endian, joined) of every whole text.
 
@@ -217,7 +254,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     at = names[encoded.columns.index(ids)]
 
     def make():
-        decoder = Decoder(path)
+        decoder = _decoder(path)
 
         def step(part: pa.RecordBatch) -> dict:
             rows = [x or b"" for x in part.column(at).to_pylist()]
@@ -236,7 +273,7 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     """
 
     def make():
-        encoder, decoder = _encoder(path, pattern), Decoder(path)
+        encoder, decoder = _encoder(path, pattern), _decoder(path)
 
         def step(part: pa.RecordBatch) -> dict:
             ids = encoder.encode(texts_of(part, text))
