@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hourlake.llm import bpe, chat, fingerprints, licenses, mixing, ngram_join, quality_rules, sql, token_counts, toxicity, warc
+from hourlake.llm import alignment, bpe, chat, fingerprints, interactions, licenses, mixing, ngram_join, quality_model, quality_rules, sql, token_counts, toxicity, warc
 from hourlake.llm.common import table
 from hourlake.session import shared_dir
 
@@ -20,10 +20,11 @@ ORACLES: dict[str, str] = {
     "op7_warc": sql.WARC,
     "op9_quality_rules": sql.QUALITY,
     "op10_ngram_join": sql.NGRAMS,
+    "op11_filter_audit": sql.AUDIT,
 }
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-COUNTER = public_tokenizers.path("byte_bpe_50k.json")
+COUNTER, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -83,3 +84,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), COUNTER, PIECES)
+
+
+@query
+def op13_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -172,3 +172,31 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN be
 """
 
 
+
+
+#: Every order of the filters is run through; documents are counted by the set of filters they fail first.
+AUDIT = r"""WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), f AS (
+    SELECT part, concat(CASE WHEN len(words) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END,
+        CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+        CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails,
+        CASE WHEN quality = 1 THEN 1 ELSE 0 END AS good, CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS bad
+    FROM d LEFT JOIN labels USING (doc_id)
+), m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), r AS (
+    SELECT part, o, fails, n, good, bad, list_min(list_transform(string_split(fails, ''), c -> CASE WHEN c = '' THEN 6 ELSE strpos(o, c) END)) AS hit
+    FROM m, orders
+), s AS (
+    SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, substr(o, CAST(step AS INTEGER), 1) AS x,
+        CAST(coalesce(sum(n) FILTER (hit IS NULL OR hit > step), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (hit = step), 0) AS BIGINT) AS removed,
+        CAST(coalesce(sum(n) FILTER (hit < step AND contains(fails, substr(o, CAST(step AS INTEGER), 1))), 0) AS BIGINT) AS redundant,
+        CAST(coalesce(sum(n) FILTER (fails = substr(o, CAST(step AS INTEGER), 1)), 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(sum(good) FILTER (hit = step), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(bad) FILTER (hit = step), 0) AS BIGINT) AS toxic_lost
+    FROM r, (SELECT unnest([1, 2, 3, 4, 5]) AS step) GROUP BY part, o, step
+)
+SELECT * EXCLUDE (x), CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM s"""
