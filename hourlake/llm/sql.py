@@ -189,7 +189,7 @@ AUDIT = r"""WITH d AS (
     SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
     WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
 ), r AS (
-    SELECT part, o, fails, n, good, bad, list_min(list_transform(string_split(fails, ''), c -> CASE WHEN c = '' THEN 6 ELSE strpos(o, c) END)) AS hit
+    SELECT part, o, fails, n, good, bad, list_min(list_transform(string_split(fails, ''), lambda c: CASE WHEN c = '' THEN 6 ELSE strpos(o, c) END)) AS hit
     FROM m, orders
 ), s AS (
     SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, substr(o, CAST(step AS INTEGER), 1) AS x,
