@@ -4,16 +4,21 @@ Tables are Parquet folders partitioned by date. Plain Parquet has no MERGE, so c
 partitions are rewritten as a whole: beside the table, on its own file system, and then swapped in
 folder by folder with renames. A marker file names a swap that is complete on disk; the next writer of
 the table finishes it, so a driver lost at any moment loses and repeats nothing. Executors lost at any
-time only repeat tasks. A table has one writer at a time.
+time only repeat tasks. While a swap is carried out, a reader that lists the table just then may miss the
+partition that is being renamed; one that has listed its files may have to read again. A table has one writer
+at a time.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F, types as T
 
 from hourlake import schemas
 from hourlake.functions.times import time_literal
@@ -91,10 +96,27 @@ def with_date(df: DataFrame, time_col: str = "period_utc", grain: str = "day") -
     return df.withColumn(partition_col(grain), date)
 
 
-def _write(df: DataFrame, path: str, mode: str, date_col: str | None, sort_by: list[str] | None = None) -> None:
+@dataclass(frozen=True)
+class Buckets:
+    """Storage by a hash of ``columns`` in ``n`` files per date, so that tables of equal buckets join without a shuffle.
+
+    Take the whole key, time included: then a hot key spreads over all buckets.
+    """
+
+    n: int
+    columns: tuple[str, ...]
+
+
+def _write(df: DataFrame, path: str, mode: str, date_col: str | None, sort_by: list[str] | None = None, buckets: Buckets | None = None) -> None:
     """Partitioned write. Rebalancing gathers a date's rows in few files and splits a date that is
-    too big for one task; the sort narrows the value range of each row group."""
-    if date_col:
+    too big for one task; the sort narrows the value range of each row group. Buckets get a task each."""
+    if buckets:
+        name = f"hourlake_staged_{uuid.uuid4().hex}"
+        dealt = df.repartition(buckets.n, *buckets.columns)
+        writer = dealt.write.mode(mode).format("parquet").option("path", path).bucketBy(buckets.n, *buckets.columns).sortBy(*buckets.columns)
+        (writer.partitionBy(date_col) if date_col else writer).saveAsTable(name)
+        df.sparkSession.sql(f"DROP TABLE {name}")  # the files stay: their place was given
+    elif date_col:
         df = df.hint("rebalance", date_col)
         if sort_by:
             df = df.sortWithinPartitions(date_col, *sort_by)
@@ -103,13 +125,40 @@ def _write(df: DataFrame, path: str, mode: str, date_col: str | None, sort_by: l
         df.hint("rebalance").write.mode(mode).parquet(path)
 
 
+def observed(seen: Observation, name: str = "n") -> int:
+    """A counter of an observed write; 0 where Spark left the observation out, as it does for plans without rows."""
+    try:
+        return int(seen.get.get(name) or 0)
+    except (AssertionError, Py4JJavaError):  # an observation without a row
+        return 0
+
+
+def read_buckets(spark: SparkSession, path: str, buckets: Buckets, date_col: str | None = DATE_COL) -> DataFrame:
+    """A table stored in buckets, read so that Spark knows them. It is entered in the session's catalog under a name of its path."""
+    recover(spark, path)
+    name = f"hourlake_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
+    plain = spark.read.parquet(path)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    by = ", ".join(f"`{c}`" for c in buckets.columns)
+    place = path.replace("'", "\\'")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet {f'PARTITIONED BY (`{date_col}`)' if date_col else ''} "
+        f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets.n} BUCKETS LOCATION '{place}'"
+    )
+    if date_col:
+        spark.catalog.recoverPartitions(name)
+    return spark.table(name)
+
+
 def append_rows(df: DataFrame, path: str, time_col: str | None = "period_utc", grain: str = "day") -> int:
-    """Append without looking at what is there. The rows are counted while they are written."""
+    """Append without looking at what is there. The rows are counted while they are written; none give 0."""
+    recover(df.sparkSession, path)
     seen = Observation()
     dated = with_date(df, time_col, grain) if time_col else df
     counted = dated.observe(seen, F.count(F.lit(1)).alias("n"))
     _write(counted, path, "append", partition_col(grain) if time_col else None)
-    return int(seen.get["n"])
+    return observed(seen)
 
 
 def overwrite_table(df: DataFrame, path: str, time_col: str | None = None, grain: str = "day") -> None:
@@ -152,6 +201,23 @@ def one_per_key(rows: DataFrame, keys: list[str], order_col: str | None = None)
     return latest_per(rows, keys, order[0], order[1:]) if order else rows.dropDuplicates(keys)
 
 
+def changed_rows(old: DataFrame, new: DataFrame, keys: list[str], update_cols: list[str] | None = None) -> DataFrame:
+    """The rows of ``new`` that are not stored yet or differ in what they would change. Maps count as different."""
+    looked_at = [c for c in new.columns if c not in keys and (not update_cols or c in update_cols)]
+    stored = old.select(*keys, F.struct(F.lit(True), *[F.col(c) for c in looked_at if c in old.columns]).alias("_o"))
+    same = F.col("_o").isNotNull()
+    for c in looked_at:
+        comparable = c in old.columns and not isinstance(new.schema[c].dataType, T.MapType)
+        same = same & (F.col(f"_o.{c}").eqNullSafe(F.col(c)) if comparable else F.lit(False))
+    return new.join(stored, keys, "left").where(~same).drop("_o")
+
+
+def log_changes(rows: DataFrame, logs: Sequence[str], columns: list[str]) -> None:
+    """Note the keys and times of rows that are about to change, a batch of its own in each log."""
+    for log in logs:
+        rows.select(columns).distinct().write.parquet(f"{log}/batch={uuid.uuid4().hex}")
+
+
 def upsert(
     batch: DataFrame,
     path: str,
@@ -160,6 +226,8 @@ def upsert(
     order_col: str | None = None,
     update_cols: list[str] | None = None,
     grain: str = "day",
+    logs: Sequence[str] = (),
+    buckets: Buckets | None = None,
 ) -> int:
     """Insert rows, or update them where their key is stored already. Returns the rows attempted.
 
@@ -168,7 +236,32 @@ def upsert(
     to another day would be stored twice. A null in a key is an error and nothing is written: set such rows aside
     before (``normalize.split_rejects``). The batch is written once and the merged partitions once; only
     those that the batch touches are read. Their dates are the one thing that comes to the driver.
+
+    With ``logs`` only rows that differ from the stored ones are merged, so a repeated delivery rewrites no
+    partition, and their keys are added to each log (see ``refresh``) before the table changes: a run lost in
+    between leaves entries too many, never too few.
+
+    ``buckets`` stores the table by a hash of these columns, for joins without a shuffle (``read_buckets``); give every
+    upsert of a table the same.
     """
+    n, swap = staged_upsert(batch, path, keys, time_col, order_col, update_cols, grain, logs, buckets)
+    if swap:
+        commit(batch.sparkSession, [swap])
+    return n
+
+
+def staged_upsert(
+    batch: DataFrame,
+    path: str,
+    keys: list[str],
+    time_col: str | None = "period_utc",
+    order_col: str | None = None,
+    update_cols: list[str] | None = None,
+    grain: str = "day",
+    logs: Sequence[str] = (),
+    buckets: Buckets | None = None,
+) -> tuple[int, Swap | None]:
+    """An upsert up to its last step: (rows attempted, the swap to ``commit``, None if nothing would change)."""
     if time_col and time_col not in keys:
         raise ValueError(f"keys {keys} must contain the time column {time_col}")
     spark = batch.sparkSession
@@ -182,60 +275,136 @@ def upsert(
     if time_col:
         rows = with_date(rows, time_col, grain)
     part_col = partition_col(grain) if time_col else None
-    landed = beside(path, f"batch-{uuid.uuid4().hex}")
+    landed, differing = (beside(path, f"batch-{uuid.uuid4().hex}") for _ in range(2))
+    swap = None
+
+    def stored(touched: str) -> DataFrame:
+        old = spark.read.parquet(path)
+        return old.where(F.col(part_col).isin(stored_dates(spark, touched, part_col))) if part_col else old
+
     try:
-        _write(rows, landed, "overwrite", part_col, keys)
+        _write(rows, landed, "overwrite", part_col, keys, buckets)
         new = spark.read.schema(rows.schema).parquet(landed)
-        if new.isEmpty():  # Spark may leave the observation out of an empty plan
-            return 0
-        n, bad = int(seen.get["n"]), int(seen.get["bad"])
+        if new.isEmpty():
+            return 0, None
+        n, bad = observed(seen), observed(seen, "bad")
         if bad:
             raise ValueError(f"{bad} rows have a null in their key {keys}")
         if not exists(spark, path):
-            _commit(spark, landed, path, whole=True)
-        else:
-            old = spark.read.parquet(path)
-            if part_col:
-                old = old.where(F.col(part_col).isin(stored_dates(spark, landed, part_col)))
-            _swap_in(merged(old, new, keys, update_cols), path, part_col, keys)
+            log_changes(new, logs, keys)
+            swap = Swap(landed, path, True)
+            return n, swap
+        touched = landed
+        if logs:
+            _write(changed_rows(stored(landed), new, keys, update_cols).select(rows.columns), differing, "overwrite", part_col, keys)
+            new, touched = spark.read.schema(rows.schema).parquet(differing), differing
+            if new.isEmpty():
+                return n, None
+            log_changes(new, logs, keys)
+        swap = stage(merged(stored(touched), new, keys, update_cols), path, part_col, keys, buckets=buckets)
+        return n, swap
     finally:
-        remove_folder(spark, landed)
-    return n
+        if not swap or swap.staged != landed:
+            remove_folder(spark, landed)
+        remove_folder(spark, differing)
 
 
 # --- swapping in ------------------------------------------------------------------------------
 
 
-def _swap_in(content: DataFrame, path: str, date_col: str | None, sort_by: list[str] | None = None, whole: bool = False) -> None:
-    """Replace the partitions ``content`` has rows for, or the ``whole`` table, by a copy written beside it."""
+@dataclass(frozen=True)
+class Swap:
+    """New content of a table: the ``whole`` of it, or the partitions it has; ``gone`` names partitions that end."""
+
+    staged: str
+    path: str
+    whole: bool
+    gone: tuple[str, ...] = ()
+
+
+def stage(content: DataFrame, path: str, date_col: str | None, sort_by: list[str] | None = None, whole: bool = False, gone: Sequence[str] = (), buckets: Buckets | None = None) -> Swap:
+    """Write ``content`` beside the table and say how it would be swapped in."""
     staged = beside(path, f"staged-{uuid.uuid4().hex}")
-    _write(content, staged, "overwrite", date_col, sort_by)
-    _commit(content.sparkSession, staged, path, whole or not date_col)
-
-
-def _commit(spark: SparkSession, staged: str, path: str, whole: bool) -> None:
-    """Book the swap in the marker file, then carry it out."""
-    fs, marker = _folder(spark, beside(path, "pending"))
-    draft = spark._jvm.org.apache.hadoop.fs.Path(beside(path, "pending-draft"))
-    out = fs.create(draft, True)
-    out.write(bytearray(f"{'whole' if whole else 'parts'} {staged}".encode()))
-    out.close()
-    fs.rename(draft, marker)
-    recover(spark, path)
+    _write(content, staged, "overwrite", date_col, sort_by, buckets)
+    return Swap(staged, path, whole or not date_col, tuple(gone))
+
+
+def _swap_in(content: DataFrame, path: str, date_col: str | None, sort_by: list[str] | None = None, whole: bool = False, gone: Sequence[str] = ()) -> None:
+    """Replace the partitions ``content`` has rows for, or the ``whole`` table, by a copy written beside it."""
+    commit(content.sparkSession, [stage(content, path, date_col, sort_by, whole, gone)])
+
+
+def staged_rows(spark: SparkSession, swap: Swap) -> DataFrame:
+    """What a swap would bring in."""
+    return spark.read.parquet(swap.staged)
+
+
+def as_committed(spark: SparkSession, path: str, swap: Swap | None, date_col: str | None) -> DataFrame:
+    """A table as it will be after ``swap``: the staged partitions instead of the stored ones."""
+    if swap is None:
+        return spark.read.parquet(path)
+    if swap.whole:
+        return staged_rows(spark, swap)
+    replaced = stored_dates(spark, swap.staged, date_col) + [dt.date.fromisoformat(n.partition("=")[2]) for n in swap.gone]
+    old = spark.read.parquet(path).where(F.coalesce(~F.col(date_col).isin(replaced), F.lit(True)))
+    return old.unionByName(staged_rows(spark, swap), allowMissingColumns=True)
+
+
+def discard(spark: SparkSession, swaps: list[Swap]) -> None:
+    """Remove staged content that is not to be swapped in."""
+    for s in swaps:
+        remove_folder(spark, s.staged)
+
+
+def group_marker(path: str) -> str:
+    """The marker file of swaps of several tables of one folder."""
+    return beside(path, "pending").rpartition("/")[0] + "/_tables.pending"
+
+
+def commit(spark: SparkSession, swaps: list[Swap]) -> None:
+    """Book swaps in one marker file, then carry them out: all of them or, where the booking fails, none.
+
+    Several tables must lie in one folder. A marker that is there already is another writer's: an error, and
+    what was staged is removed.
+    """
+    if not swaps:
+        return
+    paths = {s.path for s in swaps}
+    if len({group_marker(p) for p in paths}) > 1:
+        raise ValueError(f"tables of one swap must share a folder: {sorted(paths)}")
+    marker_path = beside(swaps[0].path, "pending") if len(paths) == 1 else group_marker(swaps[0].path)
+    fs, marker = _folder(spark, marker_path)
+    try:
+        draft = spark._jvm.org.apache.hadoop.fs.Path(f"{marker_path}-draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps([asdict(s) for s in swaps]).encode()))
+        out.close()
+        taken = any(exists(spark, m) for m in {group_marker(swaps[0].path), *(beside(p, "pending") for p in paths)})
+        if taken or not fs.rename(draft, marker):
+            fs.delete(draft, False)
+            raise OSError(f"{marker_path} can't be booked: another swap is pending")
+    except BaseException:
+        discard(spark, swaps)
+        raise
+    recover(spark, swaps[0].path)
 
 
 def recover(spark: SparkSession, path: str) -> bool:
-    """Finish a swap that is booked but not carried out to the end; says whether there was one.
+    """Finish the swaps that are booked but not carried out to the end, of the table or of several with it.
 
-    Each writer calls it first. A folder that is still staged replaces the table's; one that isn't has
-    its place already, so the steps can be repeated from anywhere.
+    Says whether there were any. Each writer calls it first. A folder that is still staged replaces the table's; one
+    that isn't has its place already, so the steps can be repeated from anywhere.
     """
-    marker_path = beside(path, "pending")
+    done = [_finish(spark, m) for m in (beside(path, "pending"), group_marker(path))]
+    return any(done)
+
+
+def _finish(spark: SparkSession, marker_path: str) -> bool:
     if not exists(spark, marker_path):
         return False
     fs, marker = _folder(spark, marker_path)
     source = fs.open(marker)
-    kind, _, staged = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode().partition(" ")
+    swaps = [Swap(**x) for x in json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode())]
     source.close()
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
 
@@ -245,15 +414,18 @@ def recover(spark: SparkSession, path: str) -> bool:
         if not fs.rename(hadoop_path(source), hadoop_path(target)):
             raise OSError(f"{source} can't be renamed to {target}")
 
-    if exists(spark, staged):
-        if kind == "whole":
-            move(staged, path)
-        else:
-            for status in fs.listStatus(hadoop_path(staged)):
-                if status.isDirectory():
-                    name = status.getPath().getName()
-                    move(f"{staged}/{name}", f"{path}/{name}")
-            remove_folder(spark, staged)
+    for swap in swaps:
+        if exists(spark, swap.staged):
+            if swap.whole:
+                move(swap.staged, swap.path)
+            else:
+                for status in fs.listStatus(hadoop_path(swap.staged)):
+                    if status.isDirectory():
+                        name = status.getPath().getName()
+                        move(f"{swap.staged}/{name}", f"{swap.path}/{name}")
+                remove_folder(spark, swap.staged)
+        for name in swap.gone:
+            remove_folder(spark, f"{swap.path}/{name}")
     fs.delete(marker, False)
     return True
 
@@ -307,23 +479,25 @@ def retain(spark: SparkSession, path: str, as_of: dt.date, days: int = RETAIN_DA
     return old
 
 
-def purge(spark: SparkSession, path: str, predicate: Column, date_col: str = DATE_COL) -> int:
+def purge(spark: SparkSession, path: str, predicate: Column, date_col: str = DATE_COL, logs: Sequence[str] = (), keys: list[str] | None = None) -> int:
     """Delete the rows a predicate holds for and return their number. Only partitions that have
-    such rows are rewritten, also that of rows without a date; one left without rows is removed."""
+    such rows are rewritten, also that of rows without a date; one left without rows is removed with the same
+    swap. ``logs`` are told the ``keys`` of the rows before."""
     recover(spark, path)
     table = spark.read.parquet(path)
     hit = F.coalesce(predicate, F.lit(False))
     per_date = table.groupBy(date_col).agg(F.count_if(hit).alias("gone"), F.count_if(~hit).alias("kept"))
     touched = per_date.where("gone > 0").collect()
+    if not touched:
+        return 0
+    if logs:
+        log_changes(table.where(hit), logs, keys)
     rewritten = [r[date_col] for r in touched if r["kept"]]
-    if rewritten:
-        of_those = F.col(date_col).isin([d for d in rewritten if d is not None])
-        if None in rewritten:
-            of_those = of_those | F.col(date_col).isNull()
-        _swap_in(table.where(of_those & ~hit), path, date_col)
-    for r in touched:
-        if not r["kept"]:
-            remove_folder(spark, f"{path}/{_part_name(date_col, r[date_col])}")
+    of_those = F.col(date_col).isin([d for d in rewritten if d is not None])
+    if None in rewritten:
+        of_those = of_those | F.col(date_col).isNull()
+    gone = [_part_name(date_col, r[date_col]) for r in touched if not r["kept"]]
+    _swap_in(table.where(of_those & ~hit), path, date_col, gone=gone)
     return sum(r["gone"] for r in touched)
 
 
@@ -345,10 +519,12 @@ def export_csv(frames: dict[str, tuple[DataFrame, list[str | Column]]], out: str
 
 
 def record_run(
-    spark: SparkSession, path: str, source: str, status: str, rows: int, started_at: dt.datetime, finished_at: dt.datetime, error: str | None = None
+    spark: SparkSession, path: str, source: str, status: str, rows: int, started_at: dt.datetime, finished_at: dt.datetime, error: str | None = None, payload: dict | None = None
 ) -> None:
+    """Add a run to the log. ``payload`` is whatever else is worth keeping of it, as a VARIANT."""
     row = [(str(uuid.uuid4()), source, started_at, finished_at, rows, status, error)]
-    spark.createDataFrame(row, schemas.INGEST_RUN).coalesce(1).write.mode("append").parquet(path)
+    noted = spark.createDataFrame(row, schemas.INGEST_RUN).withColumn("payload", F.parse_json(F.lit(json.dumps(payload) if payload is not None else None).cast("string")))
+    noted.coalesce(1).write.mode("append").parquet(path)
 
 
 def compact(spark: SparkSession, path: str) -> None:
@@ -360,19 +536,44 @@ def compact(spark: SparkSession, path: str) -> None:
 def update_freshness(path: str, source: str, target: DataFrame | str, rows: int, fetched_at: dt.datetime, error: str | None = None, spark: SparkSession | None = None) -> None:
     """After a load: the target's latest period, the fetch time, the rows and a cleared error.
 
-    A target that is given by its path and partitioned by day is read in its newest partition only.
+    A target that is given by its path and partitioned by day is read in its newest partition only. The outcome
+    is appended, so loads that end at the same time don't overwrite each other's; ``read_freshness`` gives
+    the latest per source.
     """
     spark = spark or target.sparkSession
     row = spark.createDataFrame([(source, fetched_at, rows, error)], "source string, last_fetch_utc timestamp, last_rows long, last_error string")
     newest = newest_partition(spark, target) if isinstance(target, str) else target
     full = row.withColumn("last_period_utc", latest_period(newest).cast("timestamp"))
-    upsert(full.select(*schemas.SOURCE_FRESHNESS.names), path, ["source"], time_col=None)
+    _note(full.select(*schemas.SOURCE_FRESHNESS.names), path, True, fetched_at)
 
 
-def freshness_error(spark: SparkSession, path: str, source: str, error: str) -> None:
+def freshness_error(spark: SparkSession, path: str, source: str, error: str, failed_at: dt.datetime) -> None:
     """After a failure only ``last_error`` changes: fetch and period stay, so the source still ages."""
-    row = spark.createDataFrame([(source, None, None, None, error)], schemas.SOURCE_FRESHNESS)
-    upsert(row, path, ["source"], time_col=None, update_cols=["last_error"])
+    _note(spark.createDataFrame([(source, None, None, None, error)], schemas.SOURCE_FRESHNESS), path, False, failed_at)
+
+
+def _note(row: DataFrame, path: str, loaded: bool, at: dt.datetime) -> None:
+    """Append an outcome. A source's own outcomes are ordered by their time."""
+    noted = row.withColumns({"_loaded": F.lit(loaded), "_noted": F.lit(at).cast("timestamp")})
+    noted.coalesce(1).write.mode("append").parquet(path)
+
+
+def read_freshness(spark: SparkSession, path: str) -> DataFrame:
+    """One row per source: its last load, with the error of a later failure."""
+    names = [c for c in schemas.SOURCE_FRESHNESS.names if c != "source"]
+    noted = spark.read.parquet(path)
+    loads = F.max(F.when(F.col("_loaded"), F.struct("_noted", "last_fetch_utc", *[c for c in names if c != "last_fetch_utc"])))
+    last = noted.groupBy("source").agg(loads.alias("_load"), F.max(F.struct("_noted", "last_error")).alias("_last"))
+    columns = [F.col("_last.last_error").alias(c) if c == "last_error" else F.col(f"_load.{c}").alias(c) for c in names]
+    return last.select("source", *columns).select(*schemas.SOURCE_FRESHNESS.names)
+
+
+def compact_freshness(spark: SparkSession, path: str) -> None:
+    """Keep of each source only the outcomes that ``read_freshness`` looks at. Not while loads are noted."""
+    recover(spark, path)
+    noted = spark.read.parquet(path)
+    w = W.partitionBy("source", "_loaded").orderBy(F.col("_noted").desc())
+    _swap_in(noted.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"), path, None)
 
 
 def run_source(
@@ -394,7 +595,7 @@ def run_source(
     except Exception as e:  # one source must not stop the rest
         text = f"{type(e).__name__}: {e}"[:error_chars]
         record_run(spark, f"{ops_path}/ingest_run", source, "error", 0, started, now(), text)
-        freshness_error(spark, f"{ops_path}/source_freshness", source, text)
+        freshness_error(spark, f"{ops_path}/source_freshness", source, text, now())
         return 0
     record_run(spark, f"{ops_path}/ingest_run", source, "ok", rows, started, now())
     update_freshness(f"{ops_path}/source_freshness", source, target, rows, now(), spark=spark)

@@ -63,11 +63,13 @@ def one_source(df: DataFrame, keys: list[str], priority: list[str]) -> DataFrame
 def build_marts(
     raw: RawTables, out: str, as_of=None, recent_hours: int = 72, grain: str = "day", priority: list[str] = SOURCE_PRIORITY, late_hours: int = upkeep.LATE_HOURS
 ) -> DataFrame:
-    """Refresh the facts incrementally, rebuild the aggregates and the dimension from them, and test them.
+    """Refresh the facts incrementally, rebuild the aggregates and the dimension from them, and publish them if all tests pass.
 
     Several sources of one row are resolved by ``priority`` first. The raw tables are filtered by time and
-    by their day or month partition before anything is joined; each fact is written once; the aggregates
-    read the stored facts with a date bound. Returns the rows of ``mart_tests``.
+    by their day or month partition before anything is joined. Every mart is staged beside the published one:
+    of a fact only the partitions that change; the aggregates read the facts as they will be, with a date bound.
+    The staged content is tested, and one marker swaps in all marts or, if a test fails, none. Returns the rows
+    of the tests: mart, test, failures, status.
     """
     spark = raw.demand.sparkSession
     demand_start = upkeep.refresh_start(spark, f"{out}/fct_demand_hourly", late_hours, grain=grain)
@@ -80,30 +82,48 @@ def build_marts(
         "fct_generation_hourly": fct_generation(new["generation"], raw.fuels),
         "fct_interchange_hourly": fct_interchange(new["interchange"]),
     }
-    for name, df in facts.items():
-        upkeep.upsert(df, f"{out}/{name}", FACT_KEYS[name], grain=grain)
-    demand = spark.read.parquet(f"{out}/fct_demand_hourly")
-    generation = spark.read.parquet(f"{out}/fct_generation_hourly")
-    tables = {
-        "agg_demand_recent": rollups.agg_demand_recent(demand, as_of, recent_hours),
-        "agg_generation_mix_recent": rollups.agg_generation_mix_recent(generation, as_of, recent_hours),
-        "agg_renewable_share_network": rollups.agg_renewable_share(generation, as_of, recent_hours),
-        "dim_balancing_authority": joins.dim_keys(raw.demand, raw.authorities, as_of),
-    }
-    for name, df in tables.items():
-        upkeep.overwrite_table(df, f"{out}/{name}")
-    return mart_tests(spark, out)
-
-
-def mart_tests(spark: SparkSession, out: str) -> DataFrame:
-    """The failing rows of each test of the stored marts: mart, test, failures, status."""
+    swaps: dict[str, upkeep.Swap | None] = {}
+    try:
+        for name, df in facts.items():
+            _, swaps[name] = upkeep.staged_upsert(df, f"{out}/{name}", FACT_KEYS[name], grain=grain)
+        part = upkeep.partition_col(grain)
+        demand, generation = (upkeep.as_committed(spark, f"{out}/{n}", swaps[n], part) for n in ("fct_demand_hourly", "fct_generation_hourly"))
+        tables = {
+            "agg_demand_recent": rollups.agg_demand_recent(demand, as_of, recent_hours),
+            "agg_generation_mix_recent": rollups.agg_generation_mix_recent(generation, as_of, recent_hours),
+            "agg_renewable_share_network": rollups.agg_renewable_share(generation, as_of, recent_hours),
+            "dim_balancing_authority": joins.dim_keys(raw.demand, raw.authorities, as_of),
+        }
+        for name, df in tables.items():
+            swaps[name] = upkeep.stage(df, f"{out}/{name}", None, whole=True)
+        staged = {n: upkeep.staged_rows(spark, s) if s else spark.read.parquet(f"{out}/{n}").limit(0) for n, s in swaps.items()}
+        tests = mart_tests(staged)
+        rows = tests.collect()  # a row per test
+    except BaseException:
+        upkeep.discard(spark, [s for s in swaps.values() if s])
+        raise
+    if all(r["status"] == "pass" for r in rows):
+        upkeep.commit(spark, [s for s in swaps.values() if s])
+    else:
+        upkeep.discard(spark, [s for s in swaps.values() if s])
+    return spark.createDataFrame(rows, tests.schema)
+
+
+def mart_tests(tables: dict[str, DataFrame]) -> DataFrame:
+    """The failing rows of each test of the given marts: mart, test, failures, status."""
     parts = []
-    for name, tests in MART_TESTS.items():
-        rows = quality.column_tests(spark.read.parquet(f"{out}/{name}"), **tests)
+    for name, df in tables.items():
+        rows = quality.column_tests(df, **MART_TESTS[name])
         parts.append(rows.select(F.lit(name).alias("mart"), "test", "failures", "status"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def published(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The published marts, after any swap that was cut short is finished."""
+    upkeep.recover(spark, f"{out}/fct_demand_hourly")
+    return {n: spark.read.parquet(f"{out}/{n}") for n in MART_TESTS}
+
+
 MART_TESTS = {
     "fct_demand_hourly": {
         "not_null": ["period_utc", "ba_code"],

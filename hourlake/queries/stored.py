@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from hourlake.operators import upkeep
+from hourlake.operators import filters, joins, upkeep
 from hourlake.plans import marts
 from hourlake.queries.bindings import ctes
 from hourlake.queries.registry import plain_time, query, rounded
@@ -72,6 +72,28 @@ def _(b):
     return _back(b, path)
 
 
+@query(
+    "copartitioned_pairs",
+    "JON1 JON5 SNK1",
+    ctes(
+        "demand day_ahead dnow",
+        """SELECT period_utc, ba_code, round(d.v, 4) AS demand_mwh, round(f.value_mwh, 4) AS forecast_mwh, round(d.v - coalesce(f.value_mwh, d.v), 4) AS forecast_error_mwh
+ FROM (SELECT period_utc, ba_code, CASE WHEN period_utc > now - INTERVAL 30 HOUR THEN value_mwh * 2 ELSE value_mwh END AS v FROM demand, dnow) d
+ LEFT JOIN day_ahead f USING (period_utc, ba_code)""",
+    ),
+)
+def _(b):
+    """Facts and forecasts in equal buckets, kept by upserts: their join shuffles neither side."""
+    base = shared_dir(b.spark, "pairs")
+    buckets = upkeep.Buckets(8, tuple(KEYS))
+    revised = b.demand.where(F.col("period_utc") > b.demand_now - _hours(30)).withColumn("value_mwh", F.col("value_mwh") * 2)
+    for name, batch in (("demand", b.demand), ("forecast", b.day_ahead), ("demand", revised)):
+        upkeep.upsert(batch, f"{base}/{name}", KEYS, grain="month", buckets=buckets)
+    demand, forecast = (upkeep.read_buckets(b.spark, f"{base}/{name}", buckets, "m") for name in ("demand", "forecast"))
+    named = filters.rename_value(forecast, "value_mwh", "forecast_mwh")
+    return rounded(joins.demand_with_forecast(filters.rename_value(demand, "value_mwh", "demand_mwh"), named))
+
+
 @query("append_twice", "SNK2", "SELECT event_type, CAST(count(*) * 2 AS BIGINT) AS n FROM events GROUP BY 1")
 def _(b):
     path = shared_dir(b.spark, "log")
@@ -171,7 +193,7 @@ def _(b):
     for source, load in (("good", good), ("bad", bad)):
         upkeep.run_source(b.spark, ops, source, load, now)
     runs = b.spark.read.parquet(f"{ops}/ingest_run").select("source", F.col("status").alias("run_status"), F.col("rows_written").alias("run_rows"))
-    fresh = b.spark.read.parquet(f"{ops}/source_freshness").select("source", "last_rows", "last_period_utc", "last_error")
+    fresh = upkeep.read_freshness(b.spark, f"{ops}/source_freshness").select("source", "last_rows", "last_period_utc", "last_error")
     return plain_time(fresh.join(runs, "source"))
 
 
@@ -285,6 +307,33 @@ def _(b):
     return _marts(b, shared_dir(b.spark, "marts"))
 
 
+@query(
+    "untested_marts_stay_out",
+    "DQ7 SNK4 SNK3",
+    ctes(
+        "demand dnow",
+        """SELECT 'published' AS kind, period_utc AS period, ba_code AS key, round(value_mwh, 4) AS a, CAST(NULL AS VARCHAR) AS status
+ FROM demand, dnow WHERE period_utc <= now - INTERVAL 48 HOUR
+ UNION ALL SELECT 'test demand_not_negative', NULL, NULL, CAST(count(*) AS DOUBLE), 'fail' FROM demand, dnow
+ WHERE period_utc > now - INTERVAL 84 HOUR AND value_mwh > 0
+ UNION ALL SELECT 'newest', max(period_utc), NULL, CAST(count(*) AS DOUBLE), NULL FROM demand, dnow
+ WHERE period_utc <= now - INTERVAL 48 HOUR AND period_utc > now - INTERVAL 120 HOUR""",
+    ),
+)
+def _(b):
+    """A second build brings negative demand: its test fails, and no mart shows any of that build."""
+    out = shared_dir(b.spark, "marts")
+    _marts(b, out, until=48)
+    demand = b.demand.select("period_utc", "ba_code", (-F.col("value_mwh")).alias("value_mwh"), F.lit("D").alias("series"), F.lit("EIA").alias("source"))
+    tests = marts.build_marts(marts.RawTables(demand, b.day_ahead, b.generation, b.interchange, b.fuels, b.nations), out, grain="month")
+    now = marts.published(b.spark, out)
+    stored = now["fct_demand_hourly"].select(F.lit("published").alias("kind"), F.col("period_utc").alias("period"), F.col("ba_code").alias("key"), F.col("demand_mwh").alias("a"))
+    failed = tests.where("status = 'fail'").select(F.concat(F.lit("test "), "test").alias("kind"), F.col("failures").cast("double").alias("a"), "status")
+    recent = now["agg_demand_recent"].agg(F.max("last_period_utc").alias("period"), F.sum("n_obs").cast("double").alias("a"))
+    parts = [stored, failed, recent.withColumn("kind", F.lit("newest"))]
+    return rounded(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts))
+
+
 @query(
     "rejected_periods",
     "NRM1 NRM3 NRM12 SNK1",

@@ -5,7 +5,7 @@ Streams need event time as TIMESTAMP, so zone-less columns are cast under the se
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -100,12 +100,14 @@ def stream_upsert(
     order_col: str | None = None,
     trigger: str | None = None,
     output_mode: str = "append",
+    logs: Sequence[str] = (),
 ) -> StreamingQuery:
     """Upsert every micro-batch by key. Delivering rows again has no effect, a revision replaces
-    what it revises, and a batch repeated after a failure gives the same table."""
+    what it revises, and a batch repeated after a failure gives the same table. What really changes is noted in
+    ``logs``, for rollups that are refreshed from them."""
 
     def write(batch: DataFrame, _: int) -> None:
-        upkeep.upsert(batch, path, keys, time_col, order_col)
+        upkeep.upsert(batch, path, keys, time_col, order_col, logs=logs)
 
     writer = (
         sdf.writeStream.outputMode(output_mode)
@@ -136,6 +138,6 @@ def stream_incremental(
             batch = batch.observe(late, F.count_if(F.col(time_col) <= bound).alias("n")).where(F.col(time_col) > bound)
         upkeep.upsert(batch, path, keys, time_col, order_col)
         if on_late:
-            on_late(int(late.get["n"]) if start is not None else 0)
+            on_late(upkeep.observed(late) if start is not None else 0)
 
     return run_stream(sdf.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)

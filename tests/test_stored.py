@@ -101,7 +101,7 @@ def test_error_keeps_the_last_fetch(spark, frame, tmp_path):
         raise RuntimeError("x" * 900)
 
     def latest():
-        return spark.read.parquet(f"{ops}/source_freshness").first()
+        return upkeep.read_freshness(spark, f"{ops}/source_freshness").first()
 
     assert upkeep.run_source(spark, ops, "S", good, lambda: next(clock)) == 10
     first = latest()
