@@ -17,36 +17,58 @@ from hourlake.functions.times import anchor, bucket_start, interval_hours, secon
 from hourlake.operators.filters import trailing
 from hourlake.operators.joins import scalar
 
-#: Pieces of a key's history: a width of time, or a number of rows.
-PIECE = "30 days"
+#: Rows of a piece of a key's history, and rows that a window is evaluated over at once.
 BLOCK_ROWS = 100_000
+#: Units of time whose rows are counted: the coarse one, and the fine one for coarse ones that hold too many rows.
+UNITS = ("1 hour", "1 second")
 
 
 # --- pieces -----------------------------------------------------------------------------------
 
 
-def with_pieces(df: DataFrame, keys: list[str], time_col: str, piece: str | int = PIECE, unit: str = "1 hour") -> DataFrame:
+def with_units(df: DataFrame, keys: list[str], time_col: str, rows: int = BLOCK_ROWS, units: tuple[str, str] = UNITS) -> DataFrame:
+    """Adds ``_unit``, the unit of time of each row, and ``_start``, how many rows of its key lie before that unit.
+
+    A unit is an hour, or within an hour of more than ``rows`` rows a second: keys and times are unique, so
+    no unit grows with the data. The counts per unit are scanned in segments: within each day, and the days'
+    totals before it, so the longest window has a row per day of a key.
+    """
+    coarse, fine = units
+    counts = df.groupBy(*keys, bucket_start(time_col, coarse).alias("_unit")).agg(F.count(F.lit(1)).alias("_n"))
+    full = counts.where(F.col("_n") > rows).select(*keys, F.col("_unit").alias("_coarse"), F.lit(True).alias("_full"))
+    marked = df.withColumn("_coarse", bucket_start(time_col, coarse)).join(full, [*keys, "_coarse"], "left")
+    marked = marked.withColumn("_unit", F.when(F.col("_full"), bucket_start(time_col, fine)).otherwise(F.col("_coarse"))).drop("_full", "_coarse")
+    by_unit = marked.groupBy(*keys, "_unit").agg(F.count(F.lit(1)).alias("_n")).withColumn("_day", F.to_date("_unit"))
+    totals = by_unit.groupBy(*keys, "_day").agg(F.sum("_n").alias("_n"))
+    in_key = F.sum("_n").over(W.partitionBy(*keys).orderBy("_day").rowsBetween(W.unboundedPreceding, -1))
+    days = totals.select(*keys, "_day", F.coalesce(in_key, F.lit(0)).alias("_days_before"))
+    in_day = F.sum("_n").over(W.partitionBy(*keys, "_day").orderBy("_unit").rowsBetween(W.unboundedPreceding, -1))
+    starts = by_unit.withColumn("_in_day", F.coalesce(in_day, F.lit(0))).join(days, [*keys, "_day"])
+    starts = starts.select(*keys, "_unit", (F.col("_days_before") + F.col("_in_day")).alias("_start"))
+    return marked.join(starts, [*keys, "_unit"])
+
+
+def with_pieces(df: DataFrame, keys: list[str], time_col: str, piece: str | int = BLOCK_ROWS) -> DataFrame:
     """Adds ``_piece``: consecutive parts of each key's history, in order.
 
-    A text is a width of time. That needs no shuffle, but a piece holds whatever a busy key has in it. A
-    number is a bound of rows: the rows per key and ``unit`` are counted, and a piece ends with the unit
-    in which its rows reach the bound, so it has at most that many and one unit's more.
+    A number is a bound of rows, whatever a busy key or hour has: a piece ends with the unit (``with_units``) in which
+    its rows reach the bound. A text is a width of time; that needs no counting, but such a piece holds whatever
+    falls into it.
     """
     if isinstance(piece, str):
         return df.withColumn("_piece", bucket_start(time_col, piece))
-    marked = df.withColumn("_unit", bucket_start(time_col, unit))
-    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_unit").rowsBetween(W.unboundedPreceding, -1))
-    counts = marked.groupBy(*keys, "_unit").agg(F.count(F.lit(1)).alias("_n"))
-    places = counts.select(*keys, "_unit", F.floor(F.coalesce(before, F.lit(0)) / piece).alias("_piece"))
-    return marked.join(places, [*keys, "_unit"]).drop("_unit")
+    return with_units(df, keys, time_col, piece).withColumn("_piece", F.floor(F.col("_start") / piece)).drop("_unit", "_start")
 
 
-def number_rows(df: DataFrame, keys: list[str], time_col: str, into: str = "_row", piece: str | int = PIECE) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], time_col: str, into: str = "_row", piece: str | int = BLOCK_ROWS) -> DataFrame:
     """Position of every row in its key's time order, from 1.
 
-    Rows are numbered within pieces of the time axis. The counts of the earlier pieces are added,
-    from a frame with one row per key and piece.
+    Rows are numbered within a unit or piece; how many rows lie before it comes from a frame with one row per
+    key and unit or piece.
     """
+    if isinstance(piece, int):
+        inside = F.row_number().over(W.partitionBy(*keys, "_unit").orderBy(time_col))
+        return with_units(df, keys, time_col, piece).withColumn(into, inside + F.col("_start")).drop("_unit", "_start")
     cut = with_pieces(df, keys, time_col, piece)
     before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1))
     offsets = (
@@ -82,7 +104,7 @@ OWN_ROW = "_home = _block"
 
 
 def with_lags(
-    df: DataFrame, keys: list[str], time_col: str, value_col: str, lags: list[int], by: str = "rows", block_rows: int = BLOCK_ROWS, piece: str | int = PIECE
+    df: DataFrame, keys: list[str], time_col: str, value_col: str, lags: list[int], by: str = "rows", block_rows: int = BLOCK_ROWS, piece: str | int = BLOCK_ROWS
 ) -> DataFrame:
     """Earlier values of each key as columns ``lag_n``; all columns stay.
 
@@ -125,7 +147,7 @@ def rolling(
     shift: int = 0,
     into: str | None = None,
     block_rows: int = BLOCK_ROWS,
-    piece: str | int = PIECE,
+    piece: str | int = BLOCK_ROWS,
 ) -> DataFrame:
     """A rolling measure over the last ``n`` rows, null below ``min_n`` values.
 
@@ -146,7 +168,7 @@ def rolling(
 # --- known values before and after ------------------------------------------------------------
 
 
-def neighbours(df: DataFrame, keys: list[str], time_col: str, value_col: str, piece: str | int = PIECE) -> DataFrame:
+def neighbours(df: DataFrame, keys: list[str], time_col: str, value_col: str, piece: str | int = BLOCK_ROWS) -> DataFrame:
     """Adds ``_prev`` and ``_next``: the (time, value) of the nearest non-null value at or before
     and at or after each row.
 
@@ -177,7 +199,7 @@ def neighbours(df: DataFrame, keys: list[str], time_col: str, value_col: str, pi
     )
 
 
-def fill(df: DataFrame, keys: list[str], time_col: str, value_col: str, order: str = "bf", piece: str | int = PIECE) -> DataFrame:
+def fill(df: DataFrame, keys: list[str], time_col: str, value_col: str, order: str = "bf", piece: str | int = BLOCK_ROWS) -> DataFrame:
     """Nulls filled from neighbours: ``b`` takes the next known value, ``f`` the previous one, in
     the order given."""
     sides = {"b": F.col("_next.v"), "f": F.col("_prev.v")}
@@ -185,7 +207,7 @@ def fill(df: DataFrame, keys: list[str], time_col: str, value_col: str, order: s
     return neighbours(df, keys, time_col, value_col, piece).withColumn(value_col, filled).drop("_prev", "_next")
 
 
-def interpolate(df: DataFrame, keys: list[str], time_col: str, value_col: str, piece: str | int = PIECE) -> DataFrame:
+def interpolate(df: DataFrame, keys: list[str], time_col: str, value_col: str, piece: str | int = BLOCK_ROWS) -> DataFrame:
     """Inner nulls replaced by the straight line between their neighbours in time."""
     span = seconds_between("_prev.t", "_next.t")
     done = seconds_between("_prev.t", time_col)

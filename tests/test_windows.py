@@ -153,3 +153,22 @@ def test_lags_by_time_keep_all_columns(series):
     by_time = windows.with_lags(named, ["ba_code"], "period_utc", "v", [24], "time")
     assert by_time.columns == windows.with_lags(named, ["ba_code"], "period_utc", "v", [24]).columns
     assert by_time.where("note = concat(ba_code, '!')").count() == named.count()
+
+
+def test_one_busy_hour_of_a_busy_key_is_cut_too(spark):
+    """99 % of the rows have one key and lie within one hour."""
+    micros = "CASE WHEN id % 100 = 0 THEN id * 3600 WHEN id < 300 THEN id * 900 ELSE 5000000 + id * 0.1 END"
+    busy = spark.range(12_000).selectExpr(
+        "IF(id % 100 = 0, 'thin', 'busy') AS ba_code", f"timestamp_ntz'2026-01-01' + make_dt_interval(0, 0, 0, {micros}) AS period_utc",
+        "IF(id % 7 = 0, NULL, CAST(id % 13 AS DOUBLE)) AS v",
+    )
+    sizes = windows.with_pieces(busy, ["ba_code"], "period_utc", 500).groupBy("ba_code", "_piece").count().collect()
+    assert max(r["count"] for r in sizes) <= 510 and sum(r["count"] for r in sizes) == 12_000
+    units = windows.with_units(busy, ["ba_code"], "period_utc", 500).groupBy("ba_code", "_unit").count().collect()
+    assert max(r["count"] for r in units) <= 300
+    got = windows.number_rows(busy, ["ba_code"], "period_utc", "n", piece=500)
+    same(got, busy.withColumn("n", F.row_number().over(plain())), ["n"])
+    got = windows.rolling(busy, ["ba_code"], "period_utc", "v", "avg", 24, 1, 0, "r", block_rows=700, piece=500)
+    same(got, busy.withColumn("r", F.avg("v").over(plain().rowsBetween(-23, 0))), ["r"])
+    got = windows.fill(busy, ["ba_code"], "period_utc", "v", "f", 500)
+    same(got, busy.withColumn("v", F.last("v", True).over(plain().rowsBetween(W.unboundedPreceding, 0))), ["v"])
