@@ -78,14 +78,31 @@ def trailing_latest(
     return trailing(rows, time_col, hours, as_of, max_hours=max_hours)
 
 
-def trailing_per_key(df: DataFrame, time_col: str, hours: int, key_col: str) -> DataFrame:
-    """Each key's last ``hours``, counted from that key's own latest time.
+def trailing_per_key(df: DataFrame, time_col: str, hours: int, key_col: str, as_of=None, keys: DataFrame | None = None, first_hours: int = 168) -> DataFrame:
+    """Each key's last ``hours``, counted from that key's own latest time (up to ``as_of``).
 
     The per-key maxima are a small aggregate; joining them lets Spark broadcast it when it is small
-    and split hot keys otherwise.
+    and split hot keys otherwise. With ``as_of`` the last ``first_hours`` are read first, pruned by day; the
+    older rows are looked at for keys without any there. ``keys`` names all keys: if none of them is missing,
+    the older rows are not read at all.
     """
-    latest = df.groupBy(key_col).agg(F.max(time_col).alias("_latest"))
-    return df.join(latest, key_col).where(F.col(time_col) > F.col("_latest") - interval_hours(hours)).drop("_latest")
+    t = F.col(time_col)
+
+    def last_hours(rows: DataFrame, latest: DataFrame) -> DataFrame:
+        return rows.join(latest, key_col).where(t > F.col("_latest") - interval_hours(hours)).drop("_latest")
+
+    newest = F.max(time_col).alias("_latest")
+    if as_of is None:
+        return last_hours(df, df.groupBy(key_col).agg(newest))
+    end = anchor(df, time_col, as_of)
+    cut = end - interval_hours(first_hours)
+    found = prune_dates(df, time_col, cut, end).where((t > cut) & (t <= end)).groupBy(key_col).agg(newest)
+    low = cut - interval_hours(hours)
+    near = last_hours(prune_dates(df, time_col, low, end).where((t > low) & (t <= end)), found)
+    older = df.where(t <= cut)
+    missing = (keys if keys is not None else older).select(key_col).distinct().join(found, key_col, "left_anti")
+    far = older.join(missing, key_col, "left_semi")
+    return near.unionByName(last_hours(far, far.groupBy(key_col).agg(newest)))
 
 
 def settled(df: DataFrame, time_col: str, as_of=None, from_h: int = 72, to_h: int = 3) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from hourlake import reference_data as ref
 from hourlake.functions.numbers import pct
-from hourlake.functions.times import anchor, seconds_between
-from hourlake.operators.filters import settled, with_ages
+from hourlake.functions.times import anchor, interval_hours, seconds_between
+from hourlake.operators.filters import prune_dates, settled, with_ages
 from hourlake.operators.joins import align_hours
-from hourlake.operators.rollups import plausibility_counts, series_wide, status_rollup
+from hourlake.operators.rollups import advisory, plausibility_counts, series_wide, status_rollup
 
 RECON_WARN_PCT = 10.0
 MIN_OVERLAP_HOURS = 1
@@ -87,12 +87,16 @@ def check_freshness(freshness: DataFrame, sla: DataFrame, as_of=None) -> DataFra
 
 
 def check_plausibility(demand: DataFrame, as_of=None, hours: int = 24, fail_share: float = 0.02) -> DataFrame:
-    counts = plausibility_counts(demand, as_of, hours)
+    status, text = _plausible(fail_share)
+    return _check("demand_plausibility", plausibility_counts(demand, as_of, hours), status, text, "observations", "nulls", "non_positive", "bas")
+
+
+def _plausible(fail_share: float) -> tuple[Column, Column]:
+    """Status and text from the counts observations, nulls and non_positive."""
     bad = F.col("nulls") + F.col("non_positive")
     share = F.coalesce(F.try_divide(bad, "observations"), F.lit(0.0))
     status = F.when(share > fail_share, "fail").when(bad > 0, "warn").otherwise("pass")
-    text = F.format_string(ref.DEMAND_COUNTS, "observations", "nulls", "non_positive")
-    return _check("demand_plausibility", counts, status, text, "observations", "nulls", "non_positive", "bas")
+    return status, F.format_string(ref.DEMAND_COUNTS, "observations", "nulls", "non_positive")
 
 
 def energy_balance(demand: DataFrame, as_of=None, warn_pct: float = RECON_WARN_PCT, from_h: int = 72, to_h: int = 3) -> DataFrame:
@@ -148,22 +152,92 @@ def check_fuel_shares(demand: DataFrame, generation: DataFrame, as_of=None, **li
 
 
 def validation_report(
-    demand: DataFrame, generation: DataFrame, freshness: DataFrame, sla: DataFrame, as_of=None, fetched_as_of=None, **limits
+    demand: DataFrame,
+    generation: DataFrame,
+    freshness: DataFrame,
+    sla: DataFrame,
+    as_of=None,
+    fetched_as_of=None,
+    warn_pct: float = RECON_WARN_PCT,
+    from_h: int = 72,
+    to_h: int = 3,
+    hours: int = 24,
+    fail_share: float = 0.02,
 ) -> DataFrame:
-    """The summary rows of all four checks with the time of the newest demand.
+    """The summary rows of all four checks with the newest demand hour that they saw.
 
-    Per-key details are frames of their own (``energy_balance``, ``fuel_reconciliation``): their
+    Demand is read once, from the start of the longest window, and aggregated to hours and then to keys with
+    what all checks need; generation is read once. Without ``as_of`` the latest times are looked up first, a
+    scan of two columns. Per-key details are frames of their own (``energy_balance``, ``fuel_reconciliation``): their
     number grows with the keys, so they are not packed into a row here.
     """
-    own = demand.where(F.col("series") == "D")
-    checks = [
-        check_freshness(freshness, sla, fetched_as_of),
-        check_plausibility(own, as_of),
-        check_energy_balance(demand, as_of, **limits),
-        check_fuel_shares(demand, generation, as_of, **limits),
-    ]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), checks)
-    return rows.withColumn("as_of_utc", own.agg(F.max("period_utc")).scalar())
+    t, v, own = F.col("period_utc"), F.col("value_mwh"), F.col("series") == "D"
+    if as_of is None:
+        latest = demand.agg(F.struct(F.max(t).alias("every"), F.max(F.when(own, t)).alias("own"))).scalar()
+        now, own_now = latest["every"], latest["own"]
+    else:
+        now = own_now = anchor(demand, "period_utc", as_of)
+    start = F.least(now - interval_hours(from_h), own_now - interval_hours(hours))
+    rows = prune_dates(demand, "period_utc", start).where(t > start)
+    recent = own & (t > own_now - interval_hours(hours))
+    per_hour = rows.groupBy("ba_code", "period_utc").agg(
+        *[F.max(F.when(F.col("series") == x, v)).alias(x) for x in ("D", "NG", "TI")],
+        F.max(F.when(own, t)).alias("newest"),
+        F.count_if(recent).alias("observations"),
+        F.count_if(recent & v.isNull()).alias("nulls"),
+        F.count_if(recent & (v <= 0)).alias("non_positive"),
+    )
+    fuels = settled(generation, "period_utc", now, from_h, to_h).groupBy("ba_code", "period_utc").agg(F.sum("value_mwh").alias("fuel"))
+    d, ng, ti, fuel = (F.col(x) for x in ("D", "NG", "TI", "fuel"))
+    is_settled = (t > now - interval_hours(from_h)) & (t <= now - interval_hours(to_h))
+    balanced = is_settled & d.isNotNull() & ng.isNotNull() & ti.isNotNull()
+    fuelled = is_settled & ng.isNotNull() & fuel.isNotNull()
+
+    def flagged(residual: Column, base: Column, common: Column) -> list[Column]:
+        """Whether a key has enough hours to be judged, and whether it is off."""
+        total = F.sum(F.when(common, base))
+        usable = (F.count_if(common) >= MIN_OVERLAP_HOURS) & F.coalesce(total != 0, F.lit(False))
+        off = F.abs(F.sum(F.when(common, residual)) / F.nullif(total, F.lit(0.0)) * 100) > warn_pct
+        return [usable, usable & F.coalesce(off, F.lit(False))]
+
+    judged = {"balance": flagged(ng - ti - d, d, balanced), "fuels": flagged(fuel - ng, ng, fuelled)}
+    counts = ("observations", "nulls", "non_positive")
+    per_key = per_hour.join(fuels, ["ba_code", "period_utc"], "left").groupBy("ba_code").agg(
+        *[c.alias(f"{name}_{kind}") for name, pair in judged.items() for kind, c in zip(("n", "off"), pair, strict=True)],
+        *[F.sum(c).alias(c) for c in counts],
+        F.max("newest").alias("newest"),
+    )
+    total = per_key.agg(
+        *[F.count_if(F.col(f"{name}_{kind}")).alias(f"{name}_{kind}") for name in judged for kind in ("n", "off")],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts],
+        F.count_if((F.col("observations") > 0) & F.col("ba_code").isNotNull()).alias("bas"),
+        F.max("newest").alias("newest"),
+    )
+
+    def row(name: str, status: Column, text: Column, *named: str) -> Column:
+        numbers = [(F.col(c) if c in named else F.lit(None)).cast("long").alias(c) for c in (*counts, "bas")]
+        return F.struct(F.lit(name).alias("name"), status.alias("status"), text.alias("value"), *numbers, F.col("newest").alias("as_of_utc"))
+
+    checks = total.select(
+        F.inline(
+            F.array(
+                row("demand_plausibility", *_plausible(fail_share), *counts, "bas"),
+                row("energy_balance", *advisory(F.col("balance_n"), F.col("balance_off"))),
+                row("fuel_shares", *advisory(F.col("fuels_n"), F.col("fuels_off"))),
+                row("freshness", F.lit("-"), F.lit("-")),
+            )
+        )
+    )
+    fresh = check_freshness(freshness, sla, fetched_as_of)
+    numbers = ("sources", "fresh", "stale")
+    joined = checks.alias("c").join(fresh.alias("f"), "name", "left")
+    return joined.select(
+        "name",
+        *[F.coalesce(f"f.{c}", f"c.{c}").alias(c) for c in ("status", "value")],
+        *[F.col(f"f.{c}") for c in numbers],
+        *[F.col(f"c.{c}") for c in (*counts, "bas")],
+        "as_of_utc",
+    )
 
 
 # --- sources, columns, loads ------------------------------------------------------------------
@@ -172,11 +246,14 @@ def validation_report(
 def resolve_source(df: DataFrame, keys: list[str], priority: list[str], source_col: str = "source") -> DataFrame:
     """One row per key: the one from the source first in ``priority``, unlisted sources last.
 
-    Only the best row per key and task is shuffled (window group limit).
+    Several rows of one source are decided by all other columns, the largest first, so that every run keeps
+    the same row; maps cannot be compared and don't count. Only the best row per key and task is shuffled
+    (window group limit).
     """
     order = F.array_position(F.array(*[F.lit(s) for s in priority]), F.col(source_col))
     ranked = F.when(order > 0, order).otherwise(len(priority) + 1)
-    w = W.partitionBy(*keys).orderBy(ranked, source_col)
+    ties = [F.col(f.name).desc() for f in df.schema if f.name not in (*keys, source_col) and not isinstance(f.dataType, T.MapType)]
+    w = W.partitionBy(*keys).orderBy(ranked, source_col, *ties)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 

@@ -360,16 +360,21 @@ def status_counts(checks: DataFrame) -> DataFrame:
     return checks.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("pass", "warn", "fail")])
 
 
-def status_rollup(details: DataFrame) -> DataFrame:
+def advisory(n: Column, flagged: Column) -> tuple[Column, Column]:
     """Status and text of an advisory check: it warns when any key is flagged and never fails."""
-    counts = details.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") != "pass").alias("flagged"))
-    n, flagged = F.col("n"), F.col("flagged")
     text = (
         F.when(n == 0, ref.NOTHING_SETTLED)
         .when(flagged == 0, F.format_string(ref.ALL_RECONCILE, n))
         .otherwise(F.format_string(ref.SOME_RECONCILE, n - flagged, n, flagged))
     )
-    return counts.select(F.when((n == 0) | (flagged == 0), "pass").otherwise("warn").alias("status"), text.alias("value"), "n", "flagged")
+    return F.when((n == 0) | (flagged == 0), "pass").otherwise("warn"), text
+
+
+def status_rollup(details: DataFrame) -> DataFrame:
+    """``advisory`` over the rows of a check."""
+    counts = details.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") != "pass").alias("flagged"))
+    status, text = advisory(F.col("n"), F.col("flagged"))
+    return counts.select(status.alias("status"), text.alias("value"), "n", "flagged")
 
 
 def energy_measures(df: DataFrame, key: str | None, value_col: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
 
-from hourlake.operators import filters, joins, ranking, rollups
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from hourlake.operators import filters, joins, ranking, rollups, upkeep
 from hourlake.operators.windows import latest_readings
 
 
@@ -67,33 +69,44 @@ def export_slices(
         "anomalies": (recent, [F.col("period_utc").desc(), F.abs("z_score").desc(), "ba_code"]),
         "forecast": (fitted, ["ba_code", "period_utc"]),
         "interchange": (flows.select("period_utc", "from_ba", "to_ba", F.col("value_mwh").alias("net_mwh")), ["period_utc", "from_ba", "to_ba"]),
-        "ingest_runs": (ranking.last_rows(runs, "started_at", 200), []),
+        "ingest_runs": (ranking.last_rows(runs, "started_at", 200, ["run_id"]), []),
         "fuel_types": (fuels.select("fuel_code", "fuel_name", "is_renewable", "is_carbon_free"), ["fuel_code"]),
     }
 
 
-def export_marts(
-    demand: DataFrame,
-    forecast: DataFrame,
-    generation: DataFrame,
-    interchange: DataFrame,
-    anomalies: DataFrame,
-    vintages: DataFrame,
-    freshness: DataFrame,
-    runs: DataFrame,
-    fuels: DataFrame,
-    authorities: DataFrame,
-    as_of=None,
-) -> dict[str, tuple[DataFrame, list]]:
-    """All ten exports, to be handed to ``upkeep.export_csv``."""
-    own = demand.where(F.col("series") == "D")
-    named = joins.generation_with_meta(filters.trailing(generation, "period_utc", 168, as_of), fuels).drop("fuel_category")
-    keys = joins.dim_keys(demand, authorities, as_of).drop("ba_sk")
+@dataclass(frozen=True)
+class ExportTables:
+    """What the exports are made from."""
+
+    demand: DataFrame
+    forecast: DataFrame
+    generation: DataFrame
+    interchange: DataFrame
+    anomalies: DataFrame
+    vintages: DataFrame
+    freshness: DataFrame
+    runs: DataFrame
+    fuels: DataFrame
+    authorities: DataFrame
+
+
+def export_marts(t: ExportTables, as_of=None) -> dict[str, tuple[DataFrame, list]]:
+    """All ten exports, each with its order. Without ``as_of`` every window ends with its own table."""
+    own = t.demand.where(F.col("series") == "D")
+    named = joins.generation_with_meta(filters.trailing(t.generation, "period_utc", 168, as_of), t.fuels).drop("fuel_category")
+    keys = joins.dim_keys(t.demand, t.authorities, as_of).drop("ba_sk")
     return {
-        "demand_hourly": (joins.demand_vs_forecast_export(own, forecast, as_of), ["period_utc", "ba_code"]),
+        "demand_hourly": (joins.demand_vs_forecast_export(own, t.forecast, as_of), ["period_utc", "ba_code"]),
         "generation_hourly": (named, ["period_utc", "ba_code", "fuel_code"]),
-        "renewable_share_hourly": (rollups.renewable_share_export(generation, fuels, as_of), ["period_utc"]),
-        "source_freshness": (filters.with_ages(freshness, as_of, "minutes"), ["source"]),
+        "renewable_share_hourly": (rollups.renewable_share_export(t.generation, t.fuels, as_of), ["period_utc"]),
+        "source_freshness": (filters.with_ages(t.freshness, as_of, "minutes"), ["source"]),
         "balancing_authorities": (keys, ["ba_code"]),
-        **export_slices(anomalies, vintages, interchange, runs, fuels, as_of),
+        **export_slices(t.anomalies, t.vintages, t.interchange, t.runs, t.fuels, as_of),
     }
+
+
+def write_exports(t: ExportTables, out: str, as_of=None) -> dict[str, T.StructType]:
+    """Write all ten exports below ``out`` and return their schemas, which CSV files don't keep."""
+    frames = export_marts(t, as_of)
+    upkeep.export_csv(frames, out)
+    return {name: df.schema for name, (df, _) in frames.items()}
