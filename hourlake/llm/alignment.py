@@ -17,6 +17,7 @@ import json
 import os
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ RADIX = 64
 #: Records in memory before they are spilled; runs that one heap merges at once; records of a block.
 SPILL, FAN_IN, BLOCK = 1_500_000, 64, 1 << 14
 #: Bytes of texts handled at once, of texts that go to a library at once, and segments remembered by a worker.
-SLICE_BYTES, BATCH_BYTES, REMEMBERED = 1 << 20, 256 << 10, 400_000
+SLICE_BYTES, BATCH_BYTES, REMEMBERED = 1 << 20, 256 << 10, 500_000
+#: Segments that a library gets as one text.
+LINE = 64
 #: Numbers of rows are task << ROW_BITS | place.
 ROW_BITS = 40
 
@@ -147,6 +150,10 @@ class Aligner:
             self.bytes_a[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.lengths_a, self.lengths_b = (np.array([len(x) for x in of], np.int64) for of in (self.bytes_a, self.bytes_b))
+        self.names_a, self.names_b = (
+            [np.array([f"{i}{sign}" for i in range(len(of))], object) for sign in signs] for of, signs in ((self.bytes_a, ",|"), (self.bytes_b, ",;"))
+        )
         with open(_local(path_a), encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -207,17 +214,65 @@ class Aligner:
         self.groups.append(";".join(groups))
         return len(self.groups) - 1
 
+    def _alone(self, segment: str) -> None:
+        ids = self.a.encode_batch_fast([" " + segment], add_special_tokens=False)[0].ids
+        self.known[segment] = self._align(segment, ids, self.b.encode(segment))
+
+    def _together(self, segments: list[str]) -> None:
+        """Align segments as one text. Where its tokens don't end with each segment or don't give it back, halve it."""
+        if len(segments) == 1:
+            return self._alone(segments[0])
+        text = " ".join(segments)
+        whole = b" " + text.encode()
+        lines = [" ".join(segments[i : i + LINE]) for i in range(0, len(segments), LINE)]
+        found = [x.ids for x in self.a.encode_batch_fast([" " + x for x in lines], add_special_tokens=False)]
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (found, self.b.encode(lines, num_threads=1)))
+        back = all(b"".join(map(x.__getitem__, ids.tolist())) == whole for x, ids in ((self.bytes_a, a), (self.bytes_b, b)))
+        ends_a, ends_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
+        cuts = np.cumsum([len(s.encode()) + 1 for s in segments])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        if not back or not np.isin(cuts, common, assume_unique=True).all():
+            half = len(segments) // 2
+            self._together(segments[:half])
+            return self._together(segments[half:])
+        # The first token of b that ends after a's begins, and the first one that ends where a's ends or later.
+        first = np.searchsorted(ends_b, ends_a - self.lengths_a[a], side="right")
+        per = np.searchsorted(ends_b, ends_a) - first + 1
+        at_a = np.repeat(np.arange(len(a)), per)
+        at_b = np.arange(len(at_a)) - np.repeat(np.cumsum(per) - per, per) + first[at_a]
+        link_ends = np.searchsorted(ends_a[at_a], cuts, side="right")
+        # Tokens in the order group, side, place, each with the sign that follows it.
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        last_a, last_b = np.isin(ends_a, common, assume_unique=True), np.isin(ends_b, common, assume_unique=True)
+        names = np.concatenate([np.where(last_a, self.names_a[1][a], self.names_a[0][a]), np.where(last_b, self.names_b[1][b], self.names_b[0][b])])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        words = names[order].tolist()
+        count_a, count_b, count_g = (np.searchsorted(x, cuts, side="right") for x in (ends_a, ends_b, common))
+        number, before = len(self.groups), self.ends[-1] if self.ends else 0
+        numbers = np.diff(np.column_stack([count_a, count_b, count_g, link_ends]), axis=0, prepend=0)
+        self.numbers.frombytes(np.ascontiguousarray(numbers, np.int64).tobytes())
+        self.pairs.frombytes((b[at_b] * self.size_a + a[at_a]).tobytes())
+        self.ends.frombytes((link_ends + before).astype(np.int64).tobytes())
+        start = 0
+        for i, (s, end) in enumerate(zip(segments, (count_a + count_b).tolist(), strict=True)):
+            self.groups.append("".join(words[start:end])[:-1])
+            self.known[s] = number + i
+            start = end
+
     def learn(self, segments: set[str]) -> None:
-        """Align segments that are not known yet, in batches of about equal bytes."""
-        batch, size, todo = [], 0, list(segments - self.known.keys())
-        for n, s in enumerate(todo, 1):
+        """Align segments that are not known yet: those that end with other than white space in batches of about equal bytes."""
+        batch, size = [], 0
+        for s in segments - self.known.keys():
+            if not s or s[-1].isspace():
+                self._alone(s)
+                continue
             batch.append(s)
-            size += len(s) + 8
-            if size >= BATCH_BYTES or n == len(todo):
-                a = self.a.encode_batch_fast([" " + s for s in batch], add_special_tokens=False)
-                for s, x, y in zip(batch, a, self.b.encode(batch, num_threads=1), strict=True):
-                    self.known[s] = self._align(s, x.ids, y)
+            size += len(s) + 1
+            if size >= BATCH_BYTES:
+                self._together(batch)
                 batch, size = [], 0
+        if batch:
+            self._together(batch)
 
     def align(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's segments; none of an empty text or one that a tokenizer doesn't give back."""
