@@ -53,7 +53,7 @@ ORDER BY s.w, s.pos
 """
 
 #: The tokens' bytes as characters of the same numbers.
-DECODE = "SELECT doc, string_agg(bytes, '' ORDER BY pos) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
+DECODE = "SELECT doc, string_agg(bytes, '' ORDER BY pos) AS bytes FROM tokens GROUP BY doc"
 
 
 @functools.lru_cache(maxsize=2)
@@ -160,6 +160,31 @@ class Encoder:
         joined = flat[flat >= 0].astype("<u4").tobytes()
         return {x: joined[a:b] for x, a, b in zip(words, [0, *ends], ends, strict=False)}
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember the ids of pieces that are not known yet.
+
+        Pieces that begin with a blank or newline and end with something else are searched for words in one
+        text, as no word crosses their ends; the others one by one.
+        """
+        together = [p for p in pieces if p[0] in " \n" and not p[-1].isspace()]
+        alone = {p: self.pattern.findall(p) for p in pieces.difference(together)}
+        found = self.pattern.findall("".join(together))
+        self.pieces |= self._words({*found, *(w for ws in alone.values() for w in ws)} - self.pieces.keys())
+        known = self.pieces.__getitem__
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        wanted = np.cumsum(np.fromiter(map(len, together), np.int64, len(together)))
+        at = np.searchsorted(ends, wanted)
+        if not np.array_equal(ends[at], wanted):
+            raise ValueError("the pattern has words that cross a blank after a word")
+        first = 0
+        for p, last in zip(together, at.tolist(), strict=True):
+            if last > first:
+                self.pieces[p] = b"".join(map(known, found[first : last + 1]))
+            first = last + 1
+        for p, ws in alone.items():
+            if len(ws) > 1:
+                self.pieces[p] = b"".join(map(known, ws))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         gc.disable()  # hundreds of thousands of small strings are remembered: none of them is garbage
         try:
@@ -167,13 +192,9 @@ class Encoder:
             used = set().union(*cut)
             if len(self.pieces) > REMEMBERED:
                 self.pieces = {p: self.pieces[p] for p in used & self.pieces.keys()}
-            findall = self.pattern.findall
-            words = {p: findall(p) for p in used - self.pieces.keys()}
-            self.pieces |= self._words({w for ws in words.values() for w in ws} - self.pieces.keys())
+            if new := used - self.pieces.keys():
+                self._learn(new)
             known = self.pieces.__getitem__
-            for p, ws in words.items():
-                if len(ws) > 1:
-                    self.pieces[p] = b"".join(map(known, ws))
             return [b"".join(map(known, pieces)) for pieces in cut]
         finally:
             gc.enable()
@@ -185,9 +206,10 @@ class Decoder:
     def __init__(self, path: str):
         ranks = load_ranks(path)
         self.known = np.fromiter(ranks.values(), np.int64)
-        self.con = _connect()
-        self.con.register("rows", pa.table({"id": self.known, "bytes": [t.decode("latin-1") for t in ranks]}))
-        self.con.execute("CREATE TABLE vocabulary AS SELECT id, bytes FROM rows")
+        names = [""] * (max(ranks.values()) + 1)
+        for token, n in ranks.items():
+            names[n] = token.decode("latin-1")
+        self.vocabulary, self.con = pa.array(names), _connect()
 
     def decode(self, joined: list[bytes]) -> list[bytes]:
         """Bytes of each row's ids; a long row is decoded in parts."""
@@ -205,7 +227,8 @@ class Decoder:
             if not np.isin(flat, self.known, kind="table").all():
                 raise ValueError("an id is not in the rank file")
             doc = np.repeat(np.arange(len(now)), [len(x) for _, x in now])
-            self.con.register("tokens", pa.table({"doc": doc, "pos": np.arange(len(flat)), "id": flat}))
+            named = pa.DictionaryArray.from_arrays(pa.array(flat, pa.int32()), self.vocabulary)
+            self.con.register("tokens", pa.table({"doc": doc, "pos": np.arange(len(flat)), "bytes": named}))
             for n, text in self.con.execute(DECODE).fetchall():
                 out[now[n][0]].append(text)
         return ["".join(parts).encode("latin-1") for parts in out]
