@@ -9,7 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from hourlake.llm.common import map_texts, texts_of
 from hourlake.llm.components import components
@@ -207,8 +207,41 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     return out.select(F.col("_key").alias(key), "class_id", "text_id", "n_links")
 
 
+def text_hash(text: Column) -> Column:
+    """What texts are dealt out by, and their name unless two different texts share it."""
+    return F.xxhash64(text)
+
+
+def text_digest(text: Column) -> Column:
+    """What tells texts apart."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def _named(signed: DataFrame, base: str) -> DataFrame:
+    """``signed`` with ``node``, a number of each different text: its hash or, where texts share that, its rank.
+
+    Of the texts of one hash the one with the smallest digest keeps it. The others, a handful in a corpus of any size,
+    are named by numbers that no hash has: those that follow one another below the smallest hash or, if that is the
+    smallest number, above the largest.
+    """
+    spark = signed.sparkSession
+    shared = signed.groupBy("hash").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("hash", "low")
+    shared.write.parquet(f"{base}/shared-hashes")
+    shared = spark.read.parquet(f"{base}/shared-hashes")
+    if shared.isEmpty():
+        return signed.withColumn("node", F.col("hash"))
+    others = signed.join(shared, "hash").where("digest != low").select("hash", "digest").distinct()
+    ranked = others.withColumn("rank", F.row_number().over(W.orderBy("hash", "digest")))
+    least, most = signed.agg(F.min("hash"), F.max("hash")).first()
+    down = least - (1 << 40) > -(1 << 63)
+    ranked = ranked.withColumn("node", F.lit(least) - F.col("rank") if down else F.lit(most) + F.col("rank"))
+    ranked.select("hash", "digest", "node").write.parquet(f"{base}/renamed")
+    renamed = spark.read.parquet(f"{base}/renamed")
+    return signed.join(renamed, ["hash", "digest"], "left").withColumn("node", F.coalesce("node", "hash"))
+
+
 def _join(docs: DataFrame, key: str, text: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(_key, node) of every row, and for each node text_id, class_id, n_links and its class's leader.
+    """(_key, node) of every row, and for each node its text's hash and digest, text_id, class_id, n_links and its class's leader.
 
     Equal texts are one node. Nodes that share a band of minimum hashes hang together; each such
     component is compared in chunks of bounded size, pair by pair within and across chunks: the
@@ -217,7 +250,7 @@ def _join(docs: DataFrame, key: str, text: str, n: int, threshold: float) -> tup
     spark = docs.sparkSession
     base = shared_dir(spark, "ngram-join")
     plain = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = plain.withColumn("node", F.xxhash64("_text"))
+    rows = plain.withColumns({"hash": text_hash(F.col("_text")), "digest": text_digest(F.col("_text"))})
 
     def sign():
         def step(part: pa.RecordBatch) -> dict:
@@ -226,7 +259,7 @@ def _join(docs: DataFrame, key: str, text: str, n: int, threshold: float) -> tup
             lengths = np.array([BANDS if len(s) else 0 for s in sets])
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-            return {c: part.column(c) for c in ("_key", "node", "digest")} | {
+            return {c: part.column(c) for c in ("_key", "hash", "digest")} | {
                 "n_set": pa.array([len(s) for s in sets], pa.int64()),
                 "keys": pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64())),
             }
@@ -234,26 +267,20 @@ def _join(docs: DataFrame, key: str, text: str, n: int, threshold: float) -> tup
         return step
 
     kind = docs.schema[key].dataType.simpleString()
-    with_digest = rows.withColumn("digest", F.md5("_text"))
-    map_texts(with_digest, sign, f"_key {kind}, node bigint, digest string, n_set bigint, keys array<bigint>", "_text").write.parquet(f"{base}/signed")
-    signed = spark.read.parquet(f"{base}/signed")
-    nodes = signed.groupBy("node").agg(
-        F.min("_key").alias("text_id"), F.max("n_set").alias("n_set"), F.min("digest").alias("d1"), F.max("digest").alias("d2")
-    )
+    map_texts(rows, sign, f"_key {kind}, hash bigint, digest binary, n_set bigint, keys array<bigint>", "_text").write.parquet(f"{base}/signed")
+    signed = _named(spark.read.parquet(f"{base}/signed"), base)
+    nodes = signed.groupBy("node", "hash", "digest").agg(F.min("_key").alias("text_id"), F.max("n_set").alias("n_set"))
     nodes.write.parquet(f"{base}/nodes")
     nodes = spark.read.parquet(f"{base}/nodes")
-    if not nodes.where("d1 != d2").isEmpty():
-        raise ValueError("two texts have the same 64-bit hash")
-    nodes = nodes.select("node", "text_id", "n_set")
 
     candidates(signed.where("n_set > 0")).join(nodes, "node").write.parquet(f"{base}/candidates")
     found = spark.read.parquet(f"{base}/candidates")
     chunks = F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK_TEXTS, F.sum("n_set") / CHUNK_SHINGLES)).cast("int").alias("chunks")
     sizes = found.groupBy("root").agg(chunks)
-    wanted = found.join(sizes, "root").select("node", "root", "text_id", "chunks")
-    same_row = (rows["node"] == wanted["node"]) & rows["_key"].eqNullSafe(wanted["text_id"])
+    wanted = found.join(sizes, "root").select("node", "root", F.col("hash").alias("_hash"), F.col("digest").alias("_digest"), "text_id", "chunks")
+    same_row = (rows["hash"] == wanted["_hash"]) & rows["_key"].eqNullSafe(wanted["text_id"]) & (rows["digest"] == wanted["_digest"])
     # candidates grow with the corpus, so the join is the same at every size
-    texts = rows.join(wanted.hint("merge"), same_row).select(rows["node"], "root", "chunks", "_text").dropDuplicates(["node"])
+    texts = rows.join(wanted.hint("merge"), same_row).select("node", "root", "chunks", "_text").dropDuplicates(["node"])
     texts = texts.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), "chunks").cast("int"))
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     units = texts.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "chunk", "_text")
@@ -282,7 +309,7 @@ def _join(docs: DataFrame, key: str, text: str, n: int, threshold: float) -> tup
     nodes = nodes.join(counts, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("text_id").isNull().alias("none"), "text_id", "node")).alias("first")
     leaders = nodes.groupBy("root").agg(first).select("root", F.col("first.text_id").alias("class_id"), F.col("first.node").alias("leader"))
-    facts = nodes.join(leaders, "root").select("node", "text_id", "class_id", "leader", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    facts = nodes.join(leaders, "root").select("node", "hash", "digest", "text_id", "class_id", "leader", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return signed.select("_key", "node"), facts
 
 
@@ -299,9 +326,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     names = [f"_d{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names, strict=True))
     rows, facts = _join(docs, key, text, n, threshold)
-    leaders = facts.where("node = leader").select(F.col("node").alias("_leader"), F.col("text_id").alias("_leader_key"))
-    marked = docs.toDF(*names).withColumn("_node", F.xxhash64(F.coalesce(F.col(at[text]), F.lit(""))))
-    kept = marked.join(leaders, (F.col("_node") == F.col("_leader")) & F.col(at[key]).eqNullSafe(F.col("_leader_key")), "left_semi")
+    leaders = facts.where("node = leader").select(F.col("hash").alias("_hash"), F.col("digest").alias("_digest"), F.col("text_id").alias("_leader_key"))
+    own = F.coalesce(F.col(at[text]), F.lit(""))
+    marked = docs.toDF(*names).withColumns({"_own": text_hash(own), "_name": text_digest(own)})
+    same = (F.col("_own") == F.col("_hash")) & F.col(at[key]).eqNullSafe(F.col("_leader_key")) & (F.col("_name") == F.col("_digest"))
+    kept = marked.join(leaders, same, "left_semi")
     if not rows.groupBy("_key", "node").count().where("count > 1").isEmpty():
-        kept = kept.groupBy("_node").agg(F.min(F.struct(*names)).alias("_row")).select("_row.*")
+        # maps have no order: their JSON stands for them
+        order = [F.to_json(at[f.name]) if isinstance(f.dataType, T.MapType) else F.col(at[f.name]) for f in docs.schema]
+        kept = kept.groupBy("_own", "_name").agg(F.min_by(F.struct(*names), F.struct(*order)).alias("_row")).select("_row.*")
     return kept.select(*names).toDF(*docs.columns)

@@ -230,3 +230,23 @@ def test_warc_damage_is_an_error():
     for wrong in (good[0][:-1], good[0].replace(b"some payload", b"same payload", 1), b"nothing", good[0] + b"x"):
         with pytest.raises(ValueError):
             warc.parse_record(wrong)
+
+
+@pytest.mark.parametrize("names", [1, 7])
+def test_texts_that_share_a_hash_stay_apart(spark, sf_dir, odd, monkeypatch, names):
+    monkeypatch.setattr(ngram_join, "text_hash", lambda text: F.pmod(F.xxhash64(text), F.lit(names)))
+    for df in (table(spark, sf_dir, "documents"), odd):
+        rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+        got = [tuple(r) for r in ngram_join.ngram_join(df).collect()]
+        assert Counter(got) == Counter(plain_join(rows))
+    docs = table(spark, sf_dir, "documents")
+    kept = ngram_join.keep_one(docs)
+    classes = {k: c for k, c, _, _ in plain_join([(r["doc_id"], r["text"]) for r in docs.collect()])}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(classes.values()))
+
+
+def test_one_of_repeated_rows_with_a_map_stays(spark, documents):
+    prose = " ".join(f"wort{i}" for i in range(40))
+    df = documents([(1, prose, "a"), (1, prose, "a"), (2, prose, "b")]).withColumn("tags", F.create_map(F.lit("x"), F.col("doc_id")))
+    kept = ngram_join.keep_one(df).collect()
+    assert [(r["doc_id"], r["tags"]) for r in kept] == [(1, {"x": 1})]
