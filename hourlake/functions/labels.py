@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hourlake.functions.times import col
-from hourlake.reference_data import WMO_TEXT
+from hourlake.reference_data import NULL_KEY_TEXT, WMO_TEXT
 
 MILE_IN_KM = 1.609344
 KEY_PATTERN = "^[A-Za-z0-9_-]{1,20}$"
@@ -75,5 +75,5 @@ def is_high_severity(c: str | Column) -> Column:
 
 def surrogate_key(*cols: str | Column) -> Column:
     """md5 over the key columns joined by ``-``, with a marker text standing for null."""
-    marker = F.lit("_dbt_utils_surrogate_key_null_")
+    marker = F.lit(NULL_KEY_TEXT)
     return F.md5(F.concat_ws("-", *[F.coalesce(col(c).cast("string"), marker) for c in cols]))

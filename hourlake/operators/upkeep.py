@@ -580,23 +580,24 @@ def run_source(
     spark: SparkSession,
     ops_path: str,
     source: str,
-    load: Callable[[], tuple[int, DataFrame | str]],
+    load: Callable[[], tuple],
     now: Callable[[], dt.datetime],
     error_chars: int | None = ERROR_CHARS,
 ) -> int:
     """Run one source's load and book the outcome.
 
-    ``load`` returns the rows written and the table they went to, or its path. A failure is recorded
-    and gives 0, so the other sources go on; ``error_chars`` cuts its text, None keeps it whole.
+    ``load`` returns the rows written, the table they went to or its path, and if it likes a payload to keep with
+    the run. A failure is recorded and gives 0, so the other sources go on; ``error_chars`` cuts its text, None
+    keeps it whole.
     """
     started = now()
     try:
-        rows, target = load()
+        rows, target, *payload = load()
     except Exception as e:  # one source must not stop the rest
         text = f"{type(e).__name__}: {e}"[:error_chars]
         record_run(spark, f"{ops_path}/ingest_run", source, "error", 0, started, now(), text)
         freshness_error(spark, f"{ops_path}/source_freshness", source, text, now())
         return 0
-    record_run(spark, f"{ops_path}/ingest_run", source, "ok", rows, started, now())
+    record_run(spark, f"{ops_path}/ingest_run", source, "ok", rows, started, now(), payload=payload[0] if payload else None)
     update_freshness(f"{ops_path}/source_freshness", source, target, rows, now(), spark=spark)
     return rows

@@ -15,6 +15,7 @@ from hourlake.queries.bindings import ctes, values_cte
 from hourlake.queries.registry import plain_time, query, rounded
 from hourlake.session import shared_dir
 from hourlake.sources import normalize, payloads, tables
+from hourlake.streaming import rollups
 
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 SERIES_OF = "CASE event_type WHEN 'view' THEN 'D' WHEN 'click' THEN 'NG' WHEN 'purchase' THEN 'TI' WHEN 'signup' THEN 'DF' ELSE 'XX' END"
@@ -297,14 +298,13 @@ def _(b):
 @query(
     "names_with_fallback",
     "NRM11",
-    """SELECT c_custkey, coalesce(n_name, 'key ' || c_custkey) AS shown FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey > 1) n
- ON c_nationkey = n_nationkey""",
+    "SELECT p_partkey, coalesce(n_name, 'key ' || p_size) AS shown FROM part LEFT JOIN nation ON p_size = n_nationkey",
 )
 def _(b):
-    named = b.table("nation").where("n_regionkey > 1")
-    rows = b.table("customer").join(named, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    code = F.concat(F.lit("key "), F.col("c_custkey").cast("string"))
-    return rows.select("c_custkey", name_or_code("n_name", code).alias("shown"))
+    """Sizes read as keys of nations: those above the last nation have no name."""
+    rows = b.table("part").join(b.table("nation"), F.col("p_size") == F.col("n_nationkey"), "left")
+    code = F.concat(F.lit("key "), F.col("p_size").cast("string"))
+    return rows.select("p_partkey", name_or_code("n_name", code).alias("shown"))
 
 
 @query(
@@ -340,3 +340,49 @@ def _(b):
     seed = b.table("nation").select("n_nationkey", "n_name", "n_regionkey", (F.col("n_regionkey") > 2).alias("is_far"))
     seed.write.option("header", "true").csv(landing)
     return tables.read_seed_csv(b.spark, landing, seed.schema)
+
+
+LANDED_SQL = ctes(
+    "demand generation interchange",
+    """SELECT 'demand' AS kind, period_utc, ba_code AS k, CAST(NULL AS VARCHAR) AS l, round(value_mwh + CASE WHEN day(period_utc) <= 3 THEN 1000 ELSE 0 END, 4) AS value_mwh FROM demand
+ UNION ALL SELECT 'fuel', period_utc, ba_code, fuel_code, round(value_mwh, 4) FROM generation
+ UNION ALL SELECT 'interchange', period_utc, from_ba, to_ba, round(value_mwh, 4) FROM interchange""",
+)
+
+
+def _land(b, df, record, part, files: int, path: str) -> None:
+    """Pages of a day's records each, as JSON documents in several files."""
+    pages = df.groupBy(part.alias("part")).agg(F.collect_list(record).alias("data"))
+    documents = pages.repartition(files, "part").select(F.to_json(F.struct(F.struct("data").alias("response"))).alias("value"))
+    documents.write.mode("append").text(path)
+
+
+@query("landed_pages", "SRC1 SRC2 SRC3 SRC12 NRM3 NRM4 NRM5 SNK1 STR4", LANDED_SQL)
+def _(b):
+    """Pages of many records in several files, read as streams of a file per micro-batch into stored tables. The
+    first days of demand come again, corrected, in files that land after the rest."""
+    base = shared_dir(b.spark, "landing")
+    period, value = F.date_format("period_utc", "yyyy-MM-dd'T'HH").alias("period"), F.col("value_mwh").cast("string").alias("value")
+    day = F.to_date("period_utc")
+    region = F.struct(period, F.col("ba_code").alias("respondent"), F.lit("D").alias("type"), value)
+    fuel = F.struct(period, F.col("ba_code").alias("respondent"), F.col("fuel_code").alias("fueltype"), value)
+    flow = F.struct(period, F.col("from_ba").alias("fromba"), F.col("to_ba").alias("toba"), value)
+    _land(b, b.demand, region, day, 3, f"{base}/region")
+    late = b.demand.where(F.dayofmonth("period_utc") <= 3).withColumn("value_mwh", F.col("value_mwh") + 1000)
+    _land(b, late, region, day, 1, f"{base}/region")
+    _land(b, b.generation, fuel, F.trunc("period_utc", "month"), 2, f"{base}/fuel")
+    _land(b, b.interchange, flow, F.trunc("period_utc", "month"), 2, f"{base}/interchange")
+    feeds = {
+        "region": (schemas.REGION_PAGE, lambda rows: normalize.route_region(rows)[0], ["period_utc", "ba_code", "series"], "day"),
+        "fuel": (schemas.FUEL_PAGE, normalize.fuel_rows, ["period_utc", "ba_code", "fuel_code"], "month"),
+        "interchange": (schemas.INTERCHANGE_PAGE, normalize.interchange_rows, ["period_utc", "from_ba", "to_ba"], "month"),
+    }
+    parts = []
+    for name, (schema, rows, keys, grain) in feeds.items():
+        pages = payloads.read_json_docs(b.spark, f"{base}/{name}", schema, stream=True, max_files_per_trigger=1)
+        rollups.stream_upsert(rows(payloads.page_rows(pages)), f"{base}/{name}-table", keys, f"{base}/{name}-checkpoint", grain=grain)
+        other = {"region": F.lit(None).cast("string"), "fuel": F.col("fuel_code"), "interchange": F.col("to_ba")}[name]
+        kind, first = ("demand" if name == "region" else name), ("from_ba" if name == "interchange" else "ba_code")
+        stored = b.spark.read.parquet(f"{base}/{name}-table")
+        parts.append(stored.select(F.lit(kind).alias("kind"), "period_utc", F.col(first).alias("k"), other.alias("l"), "value_mwh"))
+    return plain_time(rounded(ranking.union_all(*parts)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from hourlake.operators import filters, forecast, ranking, rollups
+from hourlake.operators import arma, filters, forecast, ranking, rollups
 from hourlake.plans import scoring
 from hourlake.queries.bindings import ctes
 from hourlake.queries.registry import query, rounded
@@ -370,3 +370,9 @@ def _(b):
     for back in (240, 0, 0):
         scoring.store_mix_shift(b.generation, path, b.shipped_now - F.make_dt_interval(hours=F.lit(back)))
     return b.spark.read.parquet(path).groupBy("detected_at_utc").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("seasonal_arma_forecast", "FC3 FC4")
+def _(b):
+    """Two regressions per key; without an SQL counterpart, tests hold the coefficients against plain least squares."""
+    return rounded(arma.arma_forecast(b.demand, b.demand_now))

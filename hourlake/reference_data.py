@@ -180,4 +180,7 @@ NOTHING_SETTLED = "awaiting settled data (feeds still backfilling)"
 ALL_RECONCILE = "all %d BAs reconcile"
 SOME_RECONCILE = "%d of %d BAs reconcile; %d flagged"
 
+#: Stands for null in surrogate keys.
+NULL_KEY_TEXT = "_dbt_utils_surrogate_key_null_"
+
 # --- end of fixed values ----------------------------------------------------------------------

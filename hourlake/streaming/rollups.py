@@ -101,13 +101,14 @@ def stream_upsert(
     trigger: str | None = None,
     output_mode: str = "append",
     logs: Sequence[str] = (),
+    grain: str = "day",
 ) -> StreamingQuery:
     """Upsert every micro-batch by key. Delivering rows again has no effect, a revision replaces
     what it revises, and a batch repeated after a failure gives the same table. What really changes is noted in
     ``logs``, for rollups that are refreshed from them."""
 
     def write(batch: DataFrame, _: int) -> None:
-        upkeep.upsert(batch, path, keys, time_col, order_col, logs=logs)
+        upkeep.upsert(batch, path, keys, time_col, order_col, grain=grain, logs=logs)
 
     writer = (
         sdf.writeStream.outputMode(output_mode)
