@@ -42,6 +42,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of ``sf_dir``: one row per kept document and repetition, with its token ids.
+
+    Each stage is written to the shared folder and read again, so a lost executor repeats a stage at most. Null texts
+    count as empty; such documents, and all of fewer than 20 words, go with the quality rules. Repeated rows are
+    copies, of which one stays; rows without a key stay if their text does. Other columns, whatever their names,
+    come through to the last stage, which gives ids and digests instead. An empty table gives an empty one.
+    """
     docs, base = table(spark, sf_dir, "documents"), shared_dir(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
