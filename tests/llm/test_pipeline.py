@@ -78,3 +78,22 @@ def test_every_stage_does_what_its_rule_says(spark, sf_dir, monkeypatch):
         assert bytes(r["ids"]) == tokens and r["n_tokens"] == len(tokens) // 4
         assert r["ids_sha256"] == hashlib.sha256(tokens).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_odd_rows_and_no_rows_go_through_every_stage(spark, odd, documents, tmp_path):
+    prose = [" ".join(f"{w}{i}" for w in ("wort", "haus", "baum") for i in range(n, n + 12)) for n in range(6)]
+    good = documents([*((100 + i, t, f"src{i % 2}") for i, t in enumerate(prose)), (100, prose[0], "src0"), (200, prose[0], "src1"), (None, prose[5] + " ende", None)])
+    names = [c for c in odd.columns if c not in good.columns]
+    every = odd.unionByName(good.selectExpr("*", *[f"doc_id AS `{n}`" for n in names]))
+    labels = spark.createDataFrame([(101, 1, 0), (None, 1, 1), (103, None, None), (103, 0, 1), (103, 1, 0)], "doc_id bigint, quality int, toxic int")
+    for name, docs in (("odd", every), ("none", every.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    texts = {r["doc_id"]: r["text"] for r in every.where("doc_id >= 100 OR doc_id IS NULL").collect()}
+    assert {r["doc_id"] for r in found} <= set(texts) and 200 not in {r["doc_id"] for r in found}
+    for r in found:
+        if r["doc_id"] is not None:
+            assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+    none = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert none.count() == 0 and none.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
