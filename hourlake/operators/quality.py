@@ -214,30 +214,20 @@ def validation_report(
         F.max("newest").alias("newest"),
     )
 
-    def row(name: str, status: Column, text: Column, *named: str) -> Column:
-        numbers = [(F.col(c) if c in named else F.lit(None)).cast("long").alias(c) for c in (*counts, "bas")]
-        return F.struct(F.lit(name).alias("name"), status.alias("status"), text.alias("value"), *numbers, F.col("newest").alias("as_of_utc"))
-
-    checks = total.select(
-        F.inline(
-            F.array(
-                row("demand_plausibility", *_plausible(fail_share), *counts, "bas"),
-                row("energy_balance", *advisory(F.col("balance_n"), F.col("balance_off"))),
-                row("fuel_shares", *advisory(F.col("fuels_n"), F.col("fuels_off"))),
-                row("freshness", F.lit("-"), F.lit("-")),
-            )
-        )
-    )
-    fresh = check_freshness(freshness, sla, fetched_as_of)
-    numbers = ("sources", "fresh", "stale")
-    joined = checks.alias("c").join(fresh.alias("f"), "name", "left")
-    return joined.select(
-        "name",
-        *[F.coalesce(f"f.{c}", f"c.{c}").alias(c) for c in ("status", "value")],
-        *[F.col(f"f.{c}") for c in numbers],
-        *[F.col(f"c.{c}") for c in (*counts, "bas")],
-        "as_of_utc",
-    )
+    columns = ("sources", "fresh", "stale", *counts, "bas")
+
+    def row(name: str, status: Column, text: Column, **numbers: Column) -> Column:
+        cells = [numbers.get(c, F.lit(None)).cast("long").alias(c) for c in columns]
+        return F.struct(F.lit(name).alias("name"), status.alias("status"), text.alias("value"), *cells, F.col("newest").alias("as_of_utc"))
+
+    sources = check_freshness(freshness, sla, fetched_as_of).select(F.struct("status", "value", "sources", "fresh", "stale")).scalar()
+    rows = [
+        row("freshness", sources["status"], sources["value"], **{c: sources[c] for c in ("sources", "fresh", "stale")}),
+        row("demand_plausibility", *_plausible(fail_share), **{c: F.col(c) for c in (*counts, "bas")}),
+        row("energy_balance", *advisory(F.col("balance_n"), F.col("balance_off"))),
+        row("fuel_shares", *advisory(F.col("fuels_n"), F.col("fuels_off"))),
+    ]
+    return total.select(F.inline(F.array(*rows)))
 
 
 # --- sources, columns, loads ------------------------------------------------------------------
