@@ -30,21 +30,17 @@ def with_units(df: DataFrame, keys: list[str], time_col: str, rows: int = BLOCK_
     """Adds ``_unit``, the unit of time of each row, and ``_start``, how many rows of its key lie before that unit.
 
     A unit is an hour, or within an hour of more than ``rows`` rows a second: keys and times are unique, so
-    no unit grows with the data. The counts per unit are scanned in segments: within each day, and the days'
-    totals before it, so the longest window has a row per day of a key.
+    no unit grows with the data. The counts are added up over a key's units, whose number is bounded by the
+    range of time.
     """
     coarse, fine = units
     counts = df.groupBy(*keys, bucket_start(time_col, coarse).alias("_unit")).agg(F.count(F.lit(1)).alias("_n"))
     full = counts.where(F.col("_n") > rows).select(*keys, F.col("_unit").alias("_coarse"), F.lit(True).alias("_full"))
     marked = df.withColumn("_coarse", bucket_start(time_col, coarse)).join(full, [*keys, "_coarse"], "left")
     marked = marked.withColumn("_unit", F.when(F.col("_full"), bucket_start(time_col, fine)).otherwise(F.col("_coarse"))).drop("_full", "_coarse")
-    by_unit = marked.groupBy(*keys, "_unit").agg(F.count(F.lit(1)).alias("_n")).withColumn("_day", F.to_date("_unit"))
-    totals = by_unit.groupBy(*keys, "_day").agg(F.sum("_n").alias("_n"))
-    in_key = F.sum("_n").over(W.partitionBy(*keys).orderBy("_day").rowsBetween(W.unboundedPreceding, -1))
-    days = totals.select(*keys, "_day", F.coalesce(in_key, F.lit(0)).alias("_days_before"))
-    in_day = F.sum("_n").over(W.partitionBy(*keys, "_day").orderBy("_unit").rowsBetween(W.unboundedPreceding, -1))
-    starts = by_unit.withColumn("_in_day", F.coalesce(in_day, F.lit(0))).join(days, [*keys, "_day"])
-    starts = starts.select(*keys, "_unit", (F.col("_days_before") + F.col("_in_day")).alias("_start"))
+    by_unit = marked.groupBy(*keys, "_unit").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_unit").rowsBetween(W.unboundedPreceding, -1))
+    starts = by_unit.select(*keys, "_unit", F.coalesce(before, F.lit(0)).alias("_start"))
     return marked.join(starts, [*keys, "_unit"])
 
 
