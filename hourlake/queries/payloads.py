@@ -101,15 +101,26 @@ RESOLUTION = """CASE o_orderpriority WHEN '1-URGENT' THEN 'PT15M' WHEN '2-HIGH'
 STEP = "CASE o_orderpriority WHEN '1-URGENT' THEN 15 WHEN '2-HIGH' THEN 30 ELSE 60 END"
 
 
-def _as_document(batches):
-    """The series of one task between the tags of one document."""
-    yield pd.DataFrame({"value": ["<GL_MarketDocument>"]})
-    yield from batches
-    yield pd.DataFrame({"value": ["</GL_MarketDocument>"]})
+#: A document is read whole by one task, so its series are bounded, however many a task lands.
+SERIES_PER_DOCUMENT = 50_000
+
+
+def _as_documents(batches):
+    """The series of one task as full documents and a last one with the rest, a line per tag and series."""
+    start, end = (pd.DataFrame({"value": [tag]}) for tag in ("<GL_MarketDocument>", "</GL_MarketDocument>"))
+    room = SERIES_PER_DOCUMENT
+    yield start
+    for batch in batches:
+        while len(batch) > room:
+            yield from (batch[:room], end, start)
+            batch, room = batch[room:], SERIES_PER_DOCUMENT
+        yield batch
+        room -= len(batch)
+    yield end
 
 
 def _landed_series(b):
-    """Landed XML documents, one per task, read back as TimeSeries elements.
+    """Landed XML documents, one per file, read back as TimeSeries elements.
 
     Each line of an order is a series with one point that has a quantity and one that has none;
     returned lines name no production type.
@@ -133,7 +144,8 @@ def _landed_series(b):
         F.lit("</quantity></Point><Point><position>9</position></Point></Period></TimeSeries>"),
     )
     landing = shared_dir(b.spark, "landing")
-    rows.select(series.alias("value")).mapInPandas(_as_document, "value string").write.text(landing)
+    documents = rows.select(series.alias("value")).mapInPandas(_as_documents, "value string")
+    documents.write.option("maxRecordsPerFile", SERIES_PER_DOCUMENT + 2).text(landing)
     return payloads.read_series_xml(b.spark, landing, {"zone": "string"})
 
 

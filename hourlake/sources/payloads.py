@@ -123,7 +123,10 @@ def read_json_docs(
 def read_series_xml(
     spark: SparkSession, path: str, partitions: dict[str, str] | None = None, stream: bool = False
 ) -> DataFrame:
-    """TimeSeries elements of landed XML documents, whatever namespace the document uses."""
+    """TimeSeries elements of landed XML documents, whatever namespace the document uses.
+
+    One task reads a document whole, so land many of bounded size.
+    """
     reader = spark.readStream if stream else spark.read
     return (
         reader.format("xml")

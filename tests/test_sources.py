@@ -1,10 +1,13 @@
 import datetime as dt
 import json
+from xml.etree import ElementTree
 
 import pytest
 
+import __spark_entry__ as entry
 from hourlake import schemas
 from hourlake.operators import upkeep
+from hourlake.queries import payloads as landed
 from hourlake.sources import normalize, payloads, tables
 
 
@@ -41,6 +44,22 @@ def test_documents_with_gaps_keep_their_times(spark, tmp_path):
     assert [r.psr_type for r in normalize.entsoe_generation_rows(points).collect()] == ["B16", "B16"]
 
 
+@pytest.mark.parametrize("name", ["generation_documents"])
+@pytest.mark.parametrize("n", [0, 50_000, 120_000])
+def test_documents_of_a_full_task_are_bounded(spark, tmp_path, monkeypatch, name, n):
+    lines = spark.range(n).coalesce(1).selectExpr("0L AS l_orderkey", "1 AS l_linenumber", "'A' AS l_returnflag", "CAST(id AS DOUBLE) AS l_quantity")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    order = spark.range(1).selectExpr("id AS o_orderkey", "TIMESTAMP_NTZ '2026-01-01 00:00:00' AS o_orderdate", "'2-HIGH' AS o_orderpriority")
+    order.write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(landed, "shared_dir", lambda spark, kind: f"{tmp_path}/{kind}")
+    got = entry.queries()[name](spark, str(tmp_path)).selectExpr("count(*) AS n", "count(DISTINCT value_mw) AS m", "sum(value_mw) AS total").first()
+    assert (got.n, got.m, got.total or 0) == (n, n, n * (n - 1) / 2)
+    roots = [ElementTree.parse(f).getroot() for f in (tmp_path / "landing").glob("part-*") if f.stat().st_size]
+    assert {r.tag for r in roots} <= {"GL_MarketDocument"} and all({e.tag for e in r} <= {"TimeSeries"} for r in roots)
+    sizes = [len(r) for r in roots]
+    assert sum(sizes) == n and max(sizes, default=0) <= 50_000
+
+
 def test_hourly_forecast_document(spark, tmp_path):
     periods = [
         {"startTime": "2026-01-01T00:00:00-05:00", "temperature": 80, "windSpeed": "10 to 15 mph", "relativeHumidity": {"value": 40}, "shortForecast": "Sunny"},
