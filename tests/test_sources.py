@@ -44,7 +44,7 @@ def test_documents_with_gaps_keep_their_times(spark, tmp_path):
     assert [r.psr_type for r in normalize.entsoe_generation_rows(points).collect()] == ["B16", "B16"]
 
 
-@pytest.mark.parametrize("name", ["generation_documents"])
+@pytest.mark.parametrize("name", ["load_documents", "generation_documents"])
 @pytest.mark.parametrize("n", [0, 50_000, 120_000])
 def test_documents_of_a_full_task_are_bounded(spark, tmp_path, monkeypatch, name, n):
     lines = spark.range(n).coalesce(1).selectExpr("0L AS l_orderkey", "1 AS l_linenumber", "'A' AS l_returnflag", "CAST(id AS DOUBLE) AS l_quantity")
